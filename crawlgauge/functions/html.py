@@ -12,7 +12,7 @@ from html.entities import html5, name2codepoint
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crawlgauge.functions.text import after_first, find_all, matches, str_array, strip
+from crawlgauge.functions.text import after_first, find_all, matches, present, str_array, strip
 
 # Inside a tag: anything up to '>', except that a quoted value is taken whole.
 # Possessive throughout, so the match is linear and needs no stack.
@@ -23,22 +23,23 @@ _ATTR = r"""(?s)[^\s/>="'<][^\s/>=]*\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>"']*)"""
 def _raw_text(name: str) -> str:
     """A raw-text element: self-closed, closed, or running to the end of input."""
     return (
-        rf"<{name}(?=[\s/>]){_ATTRS}"
+        rf"{name}(?=[\s/>]){_ATTRS}"
         rf"(?:(?<=/)>|>.*?(?:</{name}(?=[\s/>])[^>]*>|\z))"
     )
 
 
-_OPAQUE = rf"(?is)<!--.*?(?:-->|\z)|{_raw_text('script')}|{_raw_text('style')}"
+# Alternatives share the leading '<', so most positions are rejected by one comparison.
+_OPAQUE = rf"(?is)<(?:!--.*?(?:-->|\z)|{_raw_text('script')}|{_raw_text('style')})"
 
 # Breaks between text runs while markup is being removed.
 _CUT, _BODY, _BODY_END = "\x01", "\x02", "\x03"
 _BODY_OPEN = rf"(?i)<body(?=[\s/>]){_ATTRS}>"
 _BODY_CLOSE = r"(?i)</(?:body|html)\s*>"
 _NOT_TEXT = (
-    rf"(?is)<template(?=[\s/>]){_ATTRS}>.*?(?:</template\s*>|\z)"
-    rf"|<rt(?=[\s/>]){_ATTRS}>.*?(?:</rt\s*>|(?=</ruby)|\z)"
-    rf"|<rp(?=[\s/>]){_ATTRS}>.*?(?:</rp\s*>|(?=</ruby)|\z)"
-    rf"|</?[a-z]{_ATTRS}>|<[!?/][^>]*>"
+    rf"(?is)<(?:template(?=[\s/>]){_ATTRS}>.*?(?:</template\s*>|\z)"
+    rf"|rt(?=[\s/>]){_ATTRS}>.*?(?:</rt\s*>|(?=</ruby)|\z)"
+    rf"|rp(?=[\s/>]){_ATTRS}>.*?(?:</rp\s*>|(?=</ruby)|\z)"
+    rf"|/?[a-z]{_ATTRS}>|[!?/][^>]*>)"
 )
 
 # Element ids of client-side application roots, in order of preference.
@@ -57,7 +58,9 @@ _C1_CHARS = {c: bytes([c]).decode("cp1252", "replace") for c in range(128, 160)}
 
 
 def _literal_map(values: dict) -> Column:
-    return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
+    """Constant MAP<STRING,STRING>, stated as one literal to keep plan building cheap."""
+    pairs = "\x1e".join(f"{k}\x1f{v}" for k, v in values.items())
+    return F.str_to_map(F.lit(pairs), F.lit("\x1e"), F.lit("\x1f"))
 
 
 def _char(code: Column) -> Column:
@@ -65,7 +68,7 @@ def _char(code: Column) -> Column:
     valid = code.between(2, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
     utf32 = F.unhex(F.lpad(F.hex(code), 8, "0"))
     return (
-        F.when(code.between(128, 159), F.try_element_at(_literal_map(_C1_CHARS), code.cast("int")))
+        F.when(code.between(128, 159), F.try_element_at(_literal_map(_C1_CHARS), code.cast("string")))
         .when(valid, F.decode(utf32, "UTF-32"))
         .otherwise(F.lit("�"))
     )
@@ -102,6 +105,7 @@ def _decode_reference(part: Column) -> Column:
 def decode_entities(col: Column) -> Column:
     """Decode character references once (``&amp;copy;`` becomes ``&copy;``)."""
     plain = col
+    # The caller's column is read more than once: pass a plain column or lambda field.
     for name in _COMMON_ENTITIES:
         plain = F.replace(plain, F.lit(f"&{name};"), F.lit(_ENTITY_CHARS[name]))
     # A zero-length match at the start yields no leading empty piece, hence the sentinel.
@@ -109,17 +113,20 @@ def decode_entities(col: Column) -> Column:
     rest = F.transform(after_first(pieces), _decode_reference)
     general = F.substring(F.concat(F.element_at(pieces, 1), F.array_join(rest, "")), 2, 2**31 - 1)
     only_amp = F.replace(plain, F.lit("&amp;"), F.lit("&"))
-    return F.when(matches(plain, "&(?!amp;)[#a-zA-Z]"), general).otherwise(only_amp)
+    return (
+        F.when(~col.contains("&"), col)
+        .when(matches(plain, "&(?!amp;)[#a-zA-Z]"), general)
+        .otherwise(only_amp)
+    )
 
 
 def attribute(tag: Column, name: str) -> Column:
     """Value of an attribute of an open tag; the last one if repeated, NULL if absent."""
-    body = F.regexp_replace(tag, r"^<[^\s/>]*", "")
-    hits = F.filter(find_all(body, _ATTR), lambda a: a.rlike(rf"(?i)^{name}\s*="))
-    value = F.regexp_replace(F.try_element_at(hits, F.lit(-1)), r"^[^=]*=\s*", "")
-    return F.when(
-        matches(value, "^[\"']"), F.substring(value, F.lit(2), F.char_length(value) - 2)
-    ).otherwise(value)
+    hits = F.filter(
+        find_all(tag, _ATTR), lambda a: F.lower(F.rtrim(F.substring_index(a, "=", 1))) == name
+    )
+    # Either both ends are quotes or neither is, so they can go in one pass.
+    return F.regexp_replace(F.try_element_at(hits, F.lit(-1)), r"""^[^=]*+=\s*+["']?+|["']$""", "")
 
 
 def tags(markup: Column, name: str) -> Column:
@@ -237,22 +244,47 @@ def text_concat(cut: Column) -> Column:
 
 
 def anchors(markup: Column) -> Column:
-    """Links in document order: (pos, text, href); text lower-cased, runs fused."""
-    pieces = F.split(F.concat(F.lit(_CUT), markup), r"(?i)<a(?=[\s/>])")
-    bodies = after_first(pieces)
-
-    def link(piece: Column, pos: Column) -> Column:
-        tag = F.regexp_extract(F.concat(F.lit("<a"), piece), rf"(?i)^<a{_ATTRS}>", 0)
-        inner = F.regexp_replace(F.concat(F.lit("<a"), piece), rf"(?i)^<a{_ATTRS}>", "")
-        inner = F.regexp_extract(inner, r"(?is)^(.*?)(?:</a(?=[\s/>])|\z)", 1)
-        runs = F.split(decode_entities(F.regexp_replace(inner, _NOT_TEXT, _CUT)), _CUT)
-        return F.struct(
-            pos.alias("pos"),
-            F.lower(F.array_join(F.transform(runs, strip), "")).alias("text"),
-            strip(decode_entities(attribute(tag, "href"))).alias("href"),
-        )
+    """Links in document order: (pos, text, href); text lower-cased, runs fused.
 
-    return F.filter(F.transform(bodies, link), lambda a: a["href"].isNotNull())
+    Each ``transform`` binds what the next one reads more than once.
+    """
+    # What follows each '<a', up to the next one.
+    pieces = after_first(F.split(F.concat(F.lit(_CUT), markup), r"(?i)<a(?=[\s/>])"))
+    split_up = F.transform(
+        pieces,
+        lambda p, i: F.struct(
+            i.alias("pos"),
+            attribute(F.regexp_extract(p, rf"^{_ATTRS}>", 0), "href").alias("href"),
+            F.regexp_extract(p, rf"(?is)^{_ATTRS}>(.*?)(?:</a(?=[\s/>])|\z)", 1).alias("inner"),
+        ),
+    )
+    links = F.filter(split_up, lambda a: a["href"].isNotNull())
+    bare = F.transform(
+        links,
+        lambda a: F.struct(
+            a["pos"].alias("pos"),
+            a["href"].alias("href"),
+            F.when(a["inner"].contains("<"), F.regexp_replace(a["inner"], _NOT_TEXT, _CUT))
+            .otherwise(a["inner"])
+            .alias("inner"),
+        ),
+    )
+
+    def fused(inner: Column) -> Column:
+        runs = F.split(decode_entities(inner), _CUT)
+        whole = strip(decode_entities(inner))
+        return F.when(
+            inner.contains(_CUT), F.array_join(F.transform(runs, strip), "")
+        ).otherwise(whole)
+
+    return F.transform(
+        bare,
+        lambda a: F.struct(
+            a["pos"].alias("pos"),
+            F.lower(fused(a["inner"])).alias("text"),
+            strip(decode_entities(a["href"])).alias("href"),
+        ),
+    )
 
 
 # Element ids left in a page by consent managers.
@@ -262,10 +294,9 @@ CONSENT_ELEMENT_IDS = [
 ]
 
 
-def consent_elements(html: Column) -> Column:
-    """Consent-manager element ids occurring anywhere in the source, lower-cased."""
-    found = find_all(html, "(?i)" + "|".join(CONSENT_ELEMENT_IDS))
-    return F.array_distinct(F.transform(found, F.lower))
+def consent_elements(html_lower: Column) -> Column:
+    """Consent-manager element ids occurring anywhere in the lower-cased source."""
+    return present([(html_lower.contains(e), e) for e in CONSENT_ELEMENT_IDS])
 
 
 def with_signals(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -280,12 +311,12 @@ def with_signals(pages: DataFrame, html: str = "html") -> DataFrame:
         *keep,
         script_blocks(source).alias("_scripts"),
         markup_only(source).alias("_markup"),
-        consent_elements(source).alias("consent_elements"),
+        F.lower(source).alias("_lower"),
     )
     scripts, markup = F.col("_scripts"), F.col("_markup")
     parts = parsed.select(
         *keep,
-        "consent_elements",
+        consent_elements(F.col("_lower")).alias("consent_elements"),
         F.size(scripts).alias("script_count"),
         script_srcs(scripts).alias("script_srcs"),
         ld_json(scripts).alias("ld_json"),

@@ -24,9 +24,10 @@ MCP_PATHS = ["/.well-known/mcp.json", "/mcp/manifest.json", "/.well-known/agent.
 
 
 def outcome(reason: str, *args: Column | str) -> Column:
-    values = [(F.lit(a) if isinstance(a, str) else a).cast("string") for a in args]
-    packed = F.array(*values) if values else str_array([])
-    return F.struct(F.lit(reason).alias("reason"), packed.alias("args")).cast(OUTCOME)
+    if not args:
+        return F.expr(f"named_struct('reason', '{reason}', 'args', cast(array() as array<string>))")
+    values = [F.lit(a) if isinstance(a, str) else a.cast("string") for a in args]
+    return F.struct(F.lit(reason).alias("reason"), F.array(*values).alias("args"))
 
 
 def choose(*branches: tuple[Column, Column], otherwise: Column) -> Column:

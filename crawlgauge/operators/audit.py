@@ -9,6 +9,7 @@ value before the exchange, and the latest fetch wins whatever the row order.
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -214,10 +215,6 @@ def scan_errors(sites: DataFrame) -> DataFrame:
 # --- findings -------------------------------------------------------------------------------
 
 
-def _literal_struct(**values) -> Column:
-    return F.struct(*[F.lit(v).alias(k) for k, v in values.items()])
-
-
 def _java_format(template: str, n_args: int = 3) -> str:
     text = template.replace("%", "%%")
     for i in range(n_args):
@@ -225,22 +222,23 @@ def _java_format(template: str, n_args: int = 3) -> str:
     return text
 
 
+VERDICT = "struct<status:string,earned:int,detail:string,action:string>"
+
+
 def verdicts(checks: tuple[Check, ...]) -> Column:
-    """Constant map (key, reason) to status, points and wording."""
-    entries = [
-        F.struct(
-            F.lit(f"{c.key}.{name}").alias("k"),
-            _literal_struct(
-                status=r.status,
-                earned=c.points(r.status),
-                detail=_java_format(r.detail),
-                action=_java_format(r.action),
-            ).alias("v"),
-        )
+    """Constant map from key.reason to status, points and wording."""
+    table = {
+        f"{c.key}.{name}": {
+            "status": r.status,
+            "earned": c.points(r.status),
+            "detail": _java_format(r.detail),
+            "action": _java_format(r.action),
+        }
         for c in checks
         for name, r in c.reasons.items()
-    ]
-    return F.map_from_entries(F.array(*entries))
+    }
+    # One JSON literal, folded to a map by the optimizer.
+    return F.from_json(F.lit(json.dumps(table)), f"map<string,{VERDICT}>")
 
 
 def worded(template: Column, args: Column) -> Column:

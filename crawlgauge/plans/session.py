@@ -15,6 +15,8 @@ _RESULT_CONF = {
 }
 
 _PLAN_CONF = {
+    # Recording a call site for every Column call doubles the time to build a plan.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",

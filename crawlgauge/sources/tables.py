@@ -28,6 +28,16 @@ def page_scan(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.PAGES).parquet(path)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Share a scan of a few large files out over all cores before CPU-heavy work.
+
+    Reading is left alone wherever the scan already has a split per core, which is
+    every large table: bodies are then never shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def resource_scan(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Fetched resources stored as Parquet, ORC or JSON lines; filters on ``path`` reach the files."""
     return spark.read.format(fmt).schema(schemas.RESOURCES).load(path)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from crawlgauge.functions.outcomes import API_PATHS, KEY_PATHS, MCP_PATHS
 from crawlgauge.functions.urls import base_url
-from crawlgauge.sources.tables import TIMEOUTS, page_scan
+from crawlgauge.sources.tables import PROBE_PATHS, TEXT_PATHS, TIMEOUTS, page_scan, spread
 
 PATH_IDX = {p: i for i, p in enumerate(TIMEOUTS)} | {"/contact-us": 17, "/docs/pricing": 18, "/x": 19}
 
@@ -115,10 +115,14 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def homes(pages: DataFrame) -> DataFrame:
     """Homepages after the snippets: page_id, url, html."""
     i = F.col("page_id")
+    pages = spread(pages, "page_id")
     return pages.select("page_id", "url", page_html(F.col("html"), i).alias("html"))
 
 
-def _row(path: Column, status: Column, final: Column, headers: Column, body: Column, error: Column, idx: Column):
+def _row(
+    kind: str, path: Column, status: Column, final: Column, headers: Column, body: Column,
+    error: Column, idx: Column,
+) -> list[Column]:
     i = F.col("page_id")
     start = F.unix_micros(F.lit("2024-01-01 00:00:00").cast("timestamp"))
     at = F.timestamp_micros(start + (i * 60 + idx) * 1_000_000)
@@ -133,6 +137,7 @@ def _row(path: Column, status: Column, final: Column, headers: Column, body: Col
         F.when(~failed, body).alias("body"),
         error.alias("error"),
         at.alias("fetched_at"),
+        F.lit(kind).alias("kind"),
     ]
 
 
@@ -148,6 +153,7 @@ def _headers(**pairs: Column) -> Column:
 
 
 def home_resources(pages: DataFrame) -> DataFrame:
+    pages = spread(pages, "page_id")
     i = F.col("page_id")
     lm, tag = F.lit(LAST_MODIFIED), F.lit(ETAG)
     headers = _headers(
@@ -158,6 +164,7 @@ def home_resources(pages: DataFrame) -> DataFrame:
     final = F.when(i % 8 == 2, F.concat(base_url(F.col("url")), F.lit("/login"))).otherwise(F.col("url"))
     return pages.select(
         *_row(
+            "home",
             F.lit("/"),
             F.when(i % 25 == 24, 503).otherwise(200),
             final,
@@ -176,14 +183,10 @@ def _subpage_filter(i: Column, path: Column) -> Column:
     return zero | one
 
 
-def wellknown_resources(pages: DataFrame) -> DataFrame:
-    """Every path but the homepage and the sub-pages with content; reads no HTML."""
+def wellknown_resources(pages: DataFrame, kind: str, paths: list[str]) -> DataFrame:
+    """Text files or probes, without the key paths that have content; reads no HTML."""
     i = F.col("page_id")
-    specs = [
-        F.struct(F.lit(p).alias("path"), F.lit(PATH_IDX[p]).alias("idx"))
-        for p in TIMEOUTS
-        if p != "/"
-    ]
+    specs = [F.struct(F.lit(p).alias("path"), F.lit(PATH_IDX[p]).alias("idx")) for p in paths]
     rows = pages.select("page_id", "url", F.inline(F.array(*specs)))
     rows = rows.filter(~_subpage_filter(i, F.col("path")))
     path, idx = F.col("path"), F.col("idx")
@@ -228,14 +231,14 @@ def wellknown_resources(pages: DataFrame) -> DataFrame:
         | ((path == "/sitemap.xml") & (i % 5 == 3)),
         F.lit("timeout"),
     )
-    return rows.select(*_row(path, status, final, headers, body, error, idx))
+    return rows.select(*_row(kind, path, status, final, headers, body, error, idx))
 
 
-def subpage_resources(pages: DataFrame) -> DataFrame:
+def subpage_resources(pages: DataFrame, kind: str, paths: list[str]) -> DataFrame:
+    """Sub-pages with content, stored with the probes where their path is also probed."""
     i = F.col("page_id")
-    names = ["/pricing", "/docs", "/contact-us", "/docs/pricing", "/x"]
-    specs = [F.struct(F.lit(p).alias("path"), F.lit(PATH_IDX[p]).alias("idx")) for p in names]
-    linked = pages.filter((i % 10).isin(0, 1))
+    specs = [F.struct(F.lit(p).alias("path"), F.lit(PATH_IDX[p]).alias("idx")) for p in paths]
+    linked = spread(pages, "page_id").filter((i % 10).isin(0, 1))
     rows = linked.select("page_id", "url", "html", F.inline(F.array(*specs)))
     rows = rows.filter(_subpage_filter(i, F.col("path")))
     path = F.col("path")
@@ -246,6 +249,7 @@ def subpage_resources(pages: DataFrame) -> DataFrame:
     )
     return rows.select(
         *_row(
+            kind,
             path,
             F.when(gone, 404).otherwise(200),
             final,
@@ -258,8 +262,13 @@ def subpage_resources(pages: DataFrame) -> DataFrame:
 
 
 def resources(pages: DataFrame) -> DataFrame:
+    """All resources, one branch per stored kind: a filter on ``kind`` drops whole branches."""
     return (
-        home_resources(pages).unionByName(wellknown_resources(pages)).unionByName(subpage_resources(pages))
+        home_resources(pages)
+        .unionByName(wellknown_resources(pages, "text", TEXT_PATHS))
+        .unionByName(wellknown_resources(pages, "probe", PROBE_PATHS))
+        .unionByName(subpage_resources(pages, "probe", ["/pricing", "/docs"]))
+        .unionByName(subpage_resources(pages, "page", ["/contact-us", "/docs/pricing", "/x"]))
     )
 
 

@@ -10,7 +10,6 @@ value before the exchange, and the latest fetch wins whatever the row order.
 from __future__ import annotations
 
 import json
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +27,7 @@ from crawlgauge.functions.urls import base_url, login_url, normalize_url
 from crawlgauge.operators.links import with_subpage_links
 from crawlgauge.operators.signals import PAGE_RULES, page_facts
 from crawlgauge.registry import BUILTIN, HOME, LLMS, ROBOTS, SITE, SITEMAP, Check
+from crawlgauge.sources.schemas import FINDING
 from crawlgauge.sources.tables import (
     HOME_PATH,
     LLMS_PATH,
@@ -60,8 +60,13 @@ def _requested_url() -> Column:
     return normalize_url(F.col("site_url"))
 
 
-def home_rows(resources: DataFrame, checks: tuple[Check, ...] = BUILTIN) -> DataFrame:
-    """Homepages judged: (scan_id, fetched_at, home)."""
+def home_rows(
+    resources: DataFrame, checks: tuple[Check, ...] = BUILTIN, links: bool = True
+) -> DataFrame:
+    """Homepages judged: (scan_id, fetched_at, home).
+
+    Only what ``checks`` and ``links`` ask for is extracted from the page.
+    """
     fetched = only_kind(resources, "home").filter(F.col("path") == HOME_PATH).select(
         "scan_id",
         "fetched_at",
@@ -72,15 +77,21 @@ def home_rows(resources: DataFrame, checks: tuple[Check, ...] = BUILTIN) -> Data
         "headers",
         F.when(F.col("error").isNull(), F.coalesce("body", F.lit(""))).alias("html"),
     )
-    facts = with_subpage_links(page_facts(fetched), base_url(F.col("url")))
+    facts = page_facts(fetched)
+    fields = ["url", "status", "error"]
+    if of_stage(checks, SITE):
+        fields += ["final_url", "has_password", "text_len_all"]
+    if links:
+        facts = with_subpage_links(facts, base_url(F.col("url")))
+        fields.append("links")
     judged = [rule_of(c).alias(c.key) for c in of_stage(checks, HOME)]
-    fields = ["url", "status", "error", "final_url", "has_password", "text_len_all", "links"]
     return facts.select("scan_id", "fetched_at", F.struct(*fields, *judged).alias("home"))
 
 
 def text_rows(resources: DataFrame, checks: tuple[Check, ...] = BUILTIN) -> DataFrame:
     """robots.txt, llms.txt and sitemap.xml judged: (scan_id, fetched_at, path, one outcome per key)."""
-    rows = only_kind(resources, "text").filter(F.col("path").isin(TEXT_PATHS))
+    paths = [TEXT_STAGES[s] for s in TEXT_STAGES if of_stage(checks, s)]
+    rows = only_kind(resources, "text").filter(F.col("path").isin(paths))
     outcomes = [
         F.when(F.col("path") == path, rule_of(c)).alias(c.key)
         for stage, path in TEXT_STAGES.items()
@@ -157,6 +168,7 @@ def _probe_arrays() -> list[Column]:
 
 
 def _site_rows(merged: DataFrame, checks: tuple[Check, ...], extra: list[str]) -> DataFrame:
+    probed = _probe_arrays() if of_stage(checks, SITE) else []
     text_keys = [c.key for s in TEXT_STAGES for c in of_stage(checks, s)]
     absent = outcome("unreachable", "not fetched")
     return merged.select(
@@ -164,20 +176,26 @@ def _site_rows(merged: DataFrame, checks: tuple[Check, ...], extra: list[str]) -
         *extra,
         "home",
         *[F.coalesce(k, absent).cast(OUTCOME).alias(k) for k in text_keys],
-        *_probe_arrays(),
+        *probed,
     )
 
 
-def assemble(resources: DataFrame, checks: tuple[Check, ...] = BUILTIN) -> DataFrame:
+def assemble(
+    resources: DataFrame, checks: tuple[Check, ...] = BUILTIN, links: bool = True
+) -> DataFrame:
     """One row per scan: the judged homepage, text-file outcomes and probe codes.
 
     The many probe rows aggregate apart from the few document rows: their state
     is all integers and their scan never touches the body column.
     """
-    documents = home_rows(resources, checks).unionByName(
-        text_rows(resources, checks).drop("path"), allowMissingColumns=True
-    )
+    documents = home_rows(resources, checks, links)
+    if any(of_stage(checks, s) for s in TEXT_STAGES):
+        documents = documents.unionByName(
+            text_rows(resources, checks).drop("path"), allowMissingColumns=True
+        )
     by_scan = documents.groupBy("scan_id").agg(*home_aggs(), *text_aggs(checks))
+    if not of_stage(checks, SITE):
+        return _site_rows(by_scan, checks, [])
     probes = probe_rows(resources).groupBy("scan_id").agg(*probe_aggs())
     return _site_rows(by_scan.join(probes, "scan_id", "left"), checks, [])
 
@@ -270,7 +288,7 @@ def with_checks(sites: DataFrame, checks: tuple[Check, ...] = BUILTIN) -> DataFr
             for i, c in enumerate(checks)
         ]
     )
-    paired = F.transform(
+    paired = raw if not checks else F.transform(
         raw,
         lambda x: F.struct(
             x.alias("x"),
@@ -279,7 +297,8 @@ def with_checks(sites: DataFrame, checks: tuple[Check, ...] = BUILTIN) -> DataFr
             ).alias("v"),
         ),
     )
-    findings = F.transform(
+    none = F.array().cast(f"array<{FINDING}>")
+    findings = none if not checks else F.transform(
         paired,
         lambda p: F.struct(
             p["x"]["idx"].alias("check_idx"),
@@ -296,13 +315,15 @@ def with_checks(sites: DataFrame, checks: tuple[Check, ...] = BUILTIN) -> DataFr
             p["x"]["time"].alias("effort_time"),
         ),
     )
+    home = F.col("home")
+    for_links = []
+    if "links" in sites.schema["home"].dataType.names:
+        own_page = [home[k].alias(k) for k in PAGE_RULES if k in of_home]
+        for_links = [
+            home["status"].alias("home_status"), home["links"].alias("links"), F.struct(*own_page).alias("page"),
+        ]
     return scannable_sites(sites).select(
-        "scan_id",
-        F.col("home")["url"].alias("url"),
-        findings.alias("checks"),
-        F.col("home")["status"].alias("home_status"),
-        F.col("home")["links"].alias("links"),
-        F.struct(*[F.col("home")[k].alias(k) for k in PAGE_RULES if k in of_home]).alias("page"),
+        "scan_id", home["url"].alias("url"), findings.alias("checks"), *for_links
     )
 
 
@@ -311,5 +332,8 @@ def check_results(audited: DataFrame) -> DataFrame:
     return audited.select("scan_id", "url", F.inline("checks"))
 
 
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+def audit(
+    resources: DataFrame, checks: tuple[Check, ...] = BUILTIN, links: bool = False
+) -> DataFrame:
+    """Resources to audited sites; ``links`` keeps what sub-page audits need."""
+    return with_checks(assemble(resources, checks, links), checks)

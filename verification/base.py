@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crawlgauge.operators import audit, subpages
-from crawlgauge.operators.signals import page_facts
+from crawlgauge.operators.signals import PAGE_RULES, page_facts
 from crawlgauge.plans.session import configure, materialize
+from crawlgauge.registry import BUILTIN
 from verification import fixtures as fx
 from verification import oracle
 
@@ -39,18 +40,20 @@ class Data:
     def facts(self) -> DataFrame:
         return page_facts(self.homes)
 
-    @cached_property
-    def sites(self) -> DataFrame:
-        return audit.assemble(self.resources)
-
     @cached_property
     def audited(self) -> DataFrame:
-        return audit.with_checks(self.sites)
+        """Audited sites without sub-page links."""
+        return audit.audit(self.resources)
+
+    def results_of(self, *keys: str) -> DataFrame:
+        """Results of some checks only; nothing else is read or extracted."""
+        checks = tuple(c for c in BUILTIN if c.key in keys)
+        return audit.check_results(audit.audit(self.resources, checks))
 
     @cached_property
     def stored(self) -> DataFrame:
         """Audited sites written to the shared folder, for queries that read them twice."""
-        return materialize(self.audited, "audited")
+        return materialize(audit.audit(self.resources, links=True), "audited")
 
     @cached_property
     def results(self) -> DataFrame:
@@ -58,11 +61,17 @@ class Data:
 
     @cached_property
     def errors(self) -> DataFrame:
-        return audit.scan_errors(self.sites)
+        return audit.scan_errors(audit.assemble(self.resources, (), links=False))
+
+    @cached_property
+    def linked(self) -> DataFrame:
+        """Audited sites with links, for the checks a sub-page shares with its homepage."""
+        checks = tuple(c for c in BUILTIN if c.key in PAGE_RULES)
+        return audit.audit(self.resources, checks, links=True)
 
     @cached_property
     def subpages(self) -> DataFrame:
-        return subpages.audit_subpages(self.audited, self.resources)
+        return subpages.audit_subpages(self.linked, self.resources)
 
     def of_path(self, path: str) -> DataFrame:
         return self.resources.filter(F.col("path") == path)

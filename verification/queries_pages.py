@@ -257,7 +257,7 @@ def _check_query(key: str) -> None:
 
     @query(slug, sql)
     def _(d):
-        return d.results.filter(F.col("key") == key).select(
+        return d.results_of(key).select(
             "scan_id", "status", "reason", "points_earned", "detail", "action"
         )
 
@@ -282,8 +282,9 @@ def _(d):
     plain = (F.col("path") == "/") & ~F.col("body").contains("application/ld+json")
     body = F.when(plain, F.replace("body", F.lit("<footer>"), script)).otherwise(F.col("body"))
     touched = d.resources.withColumn("body", body)
-    results = audit.check_results(audit.with_checks(audit.assemble(touched)))
-    mine = results.filter((F.col("key") == "structured_data") & F.col("reason").isin(EXCEPTION, "high_value"))
+    only = tuple(c for c in BUILTIN if c.key == "structured_data")
+    results = audit.check_results(audit.audit(touched, only))
+    mine = results.filter(F.col("reason").isin(EXCEPTION, "high_value"))
     untouched = d.resources.filter(plain & F.col("error").isNull()).select("scan_id")
     return mine.join(untouched, "scan_id", "left_semi").select("scan_id", "reason", "status", "points_earned")
 
@@ -497,6 +498,6 @@ def _(d):
         ),
     )
     checks = register_check(BUILTIN, long_enough)
-    scored = scoring.with_score(audit.with_checks(audit.assemble(d.resources, checks), checks))
+    scored = scoring.with_score(audit.audit(d.resources, checks))
     added = F.try_element_at("checks", F.lit(-1))["points_earned"]
     return scored.select("scan_id", added.alias("extra_points"), "max_points", "score")

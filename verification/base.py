@@ -17,7 +17,7 @@ from verification import oracle
 
 
 class Data:
-    """The tables a query may start from, each built when first used."""
+    """The tables a query may start from: lazy plans, each built when first used."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = configure(spark)
@@ -50,7 +50,6 @@ class Data:
         checks = tuple(c for c in BUILTIN if c.key in keys)
         return audit.check_results(audit.audit(self.resources, checks))
 
-    @cached_property
     def stored(self) -> DataFrame:
         """Audited sites written to the shared folder, for queries that read them twice."""
         return materialize(audit.audit(self.resources, links=True), "audited")
@@ -77,6 +76,17 @@ class Data:
         return self.resources.filter(F.col("path") == path)
 
 
+_SHARED: dict[tuple, Data] = {}
+
+
+def shared_data(spark: SparkSession, sf_dir: str) -> Data:
+    """One Data per session and folder. It holds plans only, so no rows are kept between queries."""
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir)
+    if key not in _SHARED:
+        _SHARED[key] = Data(spark, sf_dir)
+    return _SHARED[key]
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -87,7 +97,7 @@ def query(name: str, sql: str | None = None):
     def register(fn: Callable[[Data], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"duplicate query: {name}")
-        QUERIES[name] = lambda spark, sf_dir: fn(Data(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: fn(shared_data(spark, sf_dir))
         if sql is not None:
             ORACLE[name] = oracle.sql(sql)
         return fn

@@ -137,7 +137,8 @@ LEFT JOIN (SELECT scan_id, array_to_string(list(page_type || '>' || page_url ||
 
 
 def nested(d):
-    return reports.nest_results(d.stored, subpages.audit_subpages(d.stored, d.resources))
+    stored = d.stored()
+    return reports.nest_results(stored, subpages.audit_subpages(stored, d.resources))
 
 
 def flattened(n):

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from crawlgauge.functions.urls import normalize_url
 from crawlgauge.operators.scoring import status_icon
+from crawlgauge.plans.session import materialize
 from crawlgauge.plans.skew import salted_join
 from crawlgauge.registry import BUILTIN, Check, check_dim
 
@@ -24,10 +25,9 @@ def compare_requests(requests: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFra
     return rows.withColumn("url", normalize_url(F.col("url")))
 
 
-def latest_by_url(scans: DataFrame, columns: list[str]) -> DataFrame:
-    """The most recent scan of each URL (highest scan_id), aggregated map-side first."""
-    picked = F.max(F.struct("scan_id", *columns)).alias("_r")
-    return scans.groupBy("url").agg(picked).select("url", "_r.*")
+def latest_scans(scans: DataFrame) -> DataFrame:
+    """The most recent scan (highest scan_id) of each URL; reads and shuffles two columns only."""
+    return scans.groupBy("url").agg(F.max("scan_id").alias("scan_id"))
 
 
 def result_or_error(scored: DataFrame, errors: DataFrame, columns: list[str]) -> DataFrame:
@@ -45,28 +45,40 @@ def compare(
 ) -> DataFrame:
     """One row per requested URL in request order, duplicates and failures kept.
 
-    Popular URLs may be named by very many requests, so the join splits hot URLs.
+    ``scored`` and ``errors`` are read twice and so should be stored tables: once
+    for the latest scan of each URL, once for the results of the scans asked for.
+    Popular URLs may be named by very many requests, so both joins from the
+    request side split hot keys; the results side is reduced to the scans asked
+    for before its wide columns move.
     """
     known = result_or_error(scored, errors, list(columns))
-    known = latest_by_url(known, [*columns, "error"])
-    rows = salted_join(compare_requests(requests, limit), known, "url")
+    asked = salted_join(compare_requests(requests, limit), latest_scans(known), "url")
+    # Four narrow columns, written once because they are read three times below.
+    asked = materialize(asked, "compare-asked")
+    wanted = asked.select("scan_id").distinct()
+    picked = known.join(wanted, "scan_id", "left_semi").drop("url")
+    rows = salted_join(asked, picked, "scan_id")
     missing = F.when(F.col("scan_id").isNull(), F.lit("not scanned"))
     return rows.withColumn("error", F.coalesce("error", missing))
 
 
+def _registry_rows(checks: tuple[Check, ...]) -> Column:
+    """The registry as a literal array to explode next to each row: no join is needed."""
+    return F.array(
+        *[
+            F.struct(F.lit(i).alias("check_idx"), F.lit(c.key).alias("key"), F.lit(c.label).alias("label"))
+            for i, c in enumerate(checks)
+        ]
+    )
+
+
 def _cell(status: Column, earned: Column, top: Column) -> Column:
     return F.concat(status_icon(status), F.lit(" "), earned.cast("string"), F.lit("/"), top.cast("string"))
 
 
 def compare_cells(compared: DataFrame, checks: tuple[Check, ...] = BUILTIN) -> DataFrame:
     """Long form of a comparison: every check for every requested site, absent results dashed."""
-    dim = F.array(
-        *[
-            F.struct(F.lit(i).alias("check_idx"), F.lit(c.key).alias("key"), F.lit(c.label).alias("label"))
-            for i, c in enumerate(checks)
-        ]
-    )
-    grid = compared.select("compare_id", "ord", "checks", F.inline(dim))
+    grid = compared.select("compare_id", "ord", "checks", F.inline(_registry_rows(checks)))
     # The cell's finding is looked up in the row's own array; nothing is joined.
     key = F.col("key")
     hit = F.try_element_at(F.filter("checks", lambda c: c["key"] == key), F.lit(1))
@@ -96,9 +108,11 @@ def compare_matrix(
     return grouped.agg(*sites)
 
 
-def compare_lookup(requested: DataFrame, results: DataFrame, dim: DataFrame) -> DataFrame:
-    """Registry left-joined to stored results per requested scan: absent results show as a dash."""
-    grid = requested.select("scan_id").crossJoin(F.broadcast(dim.select("check_idx", "key")))
+def compare_lookup(
+    requested: DataFrame, results: DataFrame, checks: tuple[Check, ...] = BUILTIN
+) -> DataFrame:
+    """Every check of each requested scan, left-joined to stored results: absent ones show as a dash."""
+    grid = requested.select("scan_id", F.inline(_registry_rows(checks)))
     joined = grid.join(
         results.select("scan_id", "key", "status", "points_earned", "points_max"),
         ["scan_id", "key"],
@@ -113,6 +127,7 @@ def rank_sites(scores: DataFrame, group: str) -> DataFrame:
 
     Scores are whole numbers from 0 to 100, so a group has at most 101 distinct
     ones: the window runs over that histogram, never over the sites themselves.
+    ``scores`` is read several times and so should be a stored table.
     """
     hist = scores.groupBy(group, "score").agg(F.count("*").alias("_n"))
     above = W.partitionBy(group).orderBy(F.col("score").desc()).rowsBetween(W.unboundedPreceding, -1)

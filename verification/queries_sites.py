@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from crawlgauge.functions.text import latin1_clean
 from crawlgauge.operators import audit, compare, reports, scoring, subpages
 from crawlgauge.operators.signals import page_facts
-from crawlgauge.plans.session import scratch_path
-from crawlgauge.registry import check_dim
+from crawlgauge.plans.session import materialize, scratch_path
 from crawlgauge.sources import sinks
 from verification import fixtures as fx
 from verification import oracle as o
@@ -196,8 +195,9 @@ def _(d):
 
 
 def compared(d):
-    scored = scoring.with_score(d.audited)
-    return compare.compare(fx.compare_requests(d.pages), scored, d.errors)
+    scored = materialize(scoring.with_score(d.audited), "scored")
+    errors = materialize(d.errors, "errors")
+    return compare.compare(fx.compare_requests(d.pages), scored, errors)
 
 
 @query("compare_limit", "SELECT compare_id, ord, url FROM asked")
@@ -220,7 +220,7 @@ SELECT r.scan_id, CAST(d.check_idx AS INTEGER) AS check_idx, d.key, coalesce({o.
 FROM (SELECT i AS scan_id FROM pg) r CROSS JOIN dim d LEFT JOIN results s ON s.scan_id = r.scan_id AND s.key = d.key""")
 def _(d):
     requested = d.pages.select(F.col("page_id").alias("scan_id"))
-    return compare.compare_lookup(requested, d.results, check_dim(d.spark))
+    return compare.compare_lookup(requested, d.results)
 
 
 @query("compare_pivot", """
@@ -242,6 +242,7 @@ def _(d):
     scored = scoring.scan_scores(d.audited).select(
         "scan_id", "score", display_domain(F.col("url")).alias("domain")
     )
+    scored = materialize(scored, "domain-scores")
     return compare.rank_sites(scored, "domain").select("domain", "scan_id", "score", "rank")
 
 

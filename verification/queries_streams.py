@@ -41,11 +41,22 @@ def staged(d, frames: list[DataFrame], heartbeats: bool = False) -> DataFrame:
 def drained(d, stream: DataFrame, name: str):
     """Run a stream over everything that has arrived; returns its output and the query."""
     out = scratch_path(d.spark, name)
-    running = st.run_to_sink(stream, out, scratch_path(d.spark, f"{name}-state"))
-    running.awaitTermination()
+    running = run(d, stream, out, scratch_path(d.spark, f"{name}-state"))
     return d.spark.read.schema(stream.schema).parquet(out), running
 
 
+def run(d, stream: DataFrame, out: str, state: str, fmt: str = "parquet"):
+    """State partitions are fixed when a stream starts, so they are sized to the cores here."""
+    before = d.spark.conf.get("spark.sql.shuffle.partitions")
+    d.spark.conf.set("spark.sql.shuffle.partitions", str(d.spark.sparkContext.defaultParallelism))
+    try:
+        running = st.run_to_sink(stream, out, state, fmt)
+        running.awaitTermination()
+    finally:
+        d.spark.conf.set("spark.sql.shuffle.partitions", before)
+    return running
+
+
 _EVENTS = """
 SELECT scan_id, 'check' AS event_type, key, status, reason, CAST(points_earned AS INTEGER) AS points_earned, detail, action
 FROM results WHERE key NOT IN ('api_discoverability', 'auth_wall', 'mcp_discoverability')
@@ -69,7 +80,7 @@ def _(d):
     """The same events as JSON lines."""
     stream = st.check_events(staged(d, [d.resources]))
     out = scratch_path(d.spark, "event-lines")
-    st.run_to_sink(stream, out, scratch_path(d.spark, "event-lines-state"), "json").awaitTermination()
+    run(d, stream, out, scratch_path(d.spark, "event-lines-state"), "json")
     return d.spark.read.schema(stream.schema).json(out).select(*_EVENT_COLUMNS)
 
 

@@ -17,7 +17,6 @@ from crawlgauge.functions.text import after_first, find_all, matches, present, s
 # Inside a tag: anything up to '>', except that a quoted value is taken whole.
 # Possessive throughout, so the match is linear and needs no stack.
 _ATTRS = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+"""
-_ATTR = r"""(?s)[^\s/>="'<][^\s/>=]*\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>"']*)"""
 
 
 def _raw_text(name: str) -> str:
@@ -32,9 +31,11 @@ def _raw_text(name: str) -> str:
 _OPAQUE = rf"(?is)<(?:!--.*?(?:-->|\z)|{_raw_text('script')}|{_raw_text('style')})"
 
 # Breaks between text runs while markup is being removed.
-_CUT, _BODY, _BODY_END = "\x01", "\x02", "\x03"
-_BODY_OPEN = rf"(?i)<body(?=[\s/>]){_ATTRS}>"
-_BODY_CLOSE = r"(?i)</(?:body|html)\s*>"
+_CUT = "\x01"
+_CUTS = "[\x01-\x03]++"
+# An opening body tag becomes \x02\x03, a closing body or html tag \x02/\x03.
+_BODY_BOUND = rf"(?i)<(?:body|(/)(?:body|html))(?=[\s/>]){_ATTRS}>"
+_BODY_OPEN, _BODY_CLOSE = "\x02\x03", "\x02/\x03"
 _NOT_TEXT = (
     rf"(?is)<(?:template(?=[\s/>]){_ATTRS}>.*?(?:</template\s*>|\z)"
     rf"|rt(?=[\s/>]){_ATTRS}>.*?(?:</rt\s*>|(?=</ruby)|\z)"
@@ -121,12 +122,15 @@ def decode_entities(col: Column) -> Column:
 
 
 def attribute(tag: Column, name: str) -> Column:
-    """Value of an attribute of an open tag; the last one if repeated, NULL if absent."""
-    hits = F.filter(
-        find_all(tag, _ATTR), lambda a: F.lower(F.rtrim(F.substring_index(a, "=", 1))) == name
-    )
-    # Either both ends are quotes or neither is, so they can go in one pass.
-    return F.regexp_replace(F.try_element_at(hits, F.lit(-1)), r"""^[^=]*+=\s*+["']?+|["']$""", "")
+    """Value of an attribute of an open tag; the last one if repeated, NULL if absent or bare.
+
+    One walk over the tag: names, separators and values are taken whole, and the
+    group keeps what the last value of ``name`` captured.
+    """
+    value = r"""(?:"[^"]*+"|'[^']*+'|[^\s>"']*+)"""
+    walk = rf"(?is)^(?:[\s/]++|{name}\s*+=\s*+({value})|[^\s/>=]++|=\s*+{value})*+"
+    # Either both ends are quotes or neither is.
+    return F.regexp_replace(F.nullif(F.regexp_extract(tag, walk, 1), F.lit("")), "^[\"']|[\"']$", "")
 
 
 def tags(markup: Column, name: str) -> Column:
@@ -195,7 +199,7 @@ def has_itemprop_price(markup: Column) -> Column:
         find_all(markup, rf"(?i)<[a-z]{_ATTRS}>"), lambda t: t.rlike(r"(?i)\sitemprop\s*=")
     )
     hit = F.exists(with_attr, lambda t: F.coalesce(attribute(t, "itemprop"), F.lit("")) == "price")
-    return F.when(matches(markup, r"(?i)\sitemprop\s*="), hit).otherwise(F.lit(False))
+    return F.when(matches(markup, r"(?i)itemprop"), hit).otherwise(F.lit(False))
 
 
 def div_ids(markup: Column) -> Column:
@@ -211,23 +215,25 @@ def csr_root(ids: Column) -> Column:
 
 def bare_text(markup: Column) -> Column:
     """Undecoded text with control characters where markup stood and where the body starts and ends."""
-    bounded = F.regexp_replace(
-        F.regexp_replace(markup, _BODY_OPEN, _BODY), _BODY_CLOSE, _BODY_END
-    )
+    bounded = F.regexp_replace(markup, _BODY_BOUND, "\x02$1\x03")
     return F.regexp_replace(bounded, _NOT_TEXT, _CUT)
 
 
 def body_part(cut: Column) -> Column:
     """Text inside the body element, or the whole document if it has none."""
-    after = F.substring(cut, F.locate(_BODY, cut) + 1, F.char_length(cut))
-    return F.when(
-        cut.contains(_BODY), F.substring_index(after, _BODY_END, 1)
-    ).otherwise(cut)
+    after = F.substring(cut, F.locate(_BODY_OPEN, cut) + 2, F.char_length(cut))
+    inside = F.substring_index(after, _BODY_CLOSE, 1)
+    return F.when(cut.contains(_BODY_OPEN), inside).otherwise(cut)
+
+
+def whole_part(cut: Column) -> Column:
+    """Text of the whole document, the marks of closing tags made plain cuts."""
+    return F.replace(cut, F.lit(_BODY_CLOSE), F.lit(_CUT))
 
 
 def text_joined(cut: Column) -> Column:
     """Non-empty stripped text runs joined by one space."""
-    runs = F.transform(F.split(cut, f"[{_CUT}-{_BODY_END}]"), strip)
+    runs = F.transform(F.split(cut, _CUTS), strip)
     return F.array_join(F.filter(runs, lambda r: r != ""), " ")
 
 
@@ -237,9 +243,9 @@ def text_concat(cut: Column) -> Column:
 
     def shrink(run: Column) -> Column:
         filler = F.when(run.contains("\n"), F.lit("\n")).otherwise(F.lit(" "))
-        return F.when(matches(run, rf"^{blank}+\z"), filler).otherwise(run)
+        return F.when(matches(run, rf"^{blank}++\z"), filler).otherwise(run)
 
-    runs = F.split(cut, f"[{_CUT}-{_BODY_END}]")
+    runs = F.split(cut, _CUTS)
     return F.array_join(F.transform(runs, shrink), "")
 
 
@@ -254,7 +260,7 @@ def anchors(markup: Column) -> Column:
         pieces,
         lambda p, i: F.struct(
             i.alias("pos"),
-            attribute(F.regexp_extract(p, rf"^{_ATTRS}>", 0), "href").alias("href"),
+            attribute(p, "href").alias("href"),
             F.regexp_extract(p, rf"(?is)^{_ATTRS}>(.*?)(?:</a(?=[\s/>])|\z)", 1).alias("inner"),
         ),
     )
@@ -333,7 +339,7 @@ def with_signals(pages: DataFrame, html: str = "html") -> DataFrame:
     return decoded.select(
         *others,
         csr_root(F.col("div_ids")).alias("csr_root"),
-        text_joined(body_part(cut)).alias("text_body_joined"),
-        text_joined(cut).alias("text_all_joined"),
-        text_concat(cut).alias("text_all_concat"),
+        text_joined(whole_part(body_part(cut))).alias("text_body_joined"),
+        text_joined(whole_part(cut)).alias("text_all_joined"),
+        text_concat(whole_part(cut)).alias("text_all_concat"),
     )

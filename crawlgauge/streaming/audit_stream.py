@@ -2,8 +2,10 @@
 
 Single-resource checks are emitted as soon as their resource arrives, without
 state. A site is complete when no resource of its scan has arrived for a while:
-session windows per scan, closed by the watermark. Re-delivered resources are
-dropped within the watermark, and the aggregates keep the latest copy anyway.
+session windows per scan, closed by the watermark. Re-delivered resources change
+nothing there, the aggregates being maxima over equal values, so completion needs
+no de-duplication and merges the copies of a hot scan map-side. Check events can
+be de-duplicated within the watermark.
 """
 
 from __future__ import annotations
@@ -64,15 +66,24 @@ def _emit(rows: DataFrame, outcomes: list[tuple[Check, Column]], checks: tuple[C
     )
 
 
-def check_events(resources: DataFrame, checks: tuple[Check, ...] = BUILTIN) -> DataFrame:
-    """A check event per judged resource, as it arrives; checks over several resources wait for completion."""
-    homes = home_rows(resources, checks, links=False)
+def check_events(
+    resources: DataFrame,
+    checks: tuple[Check, ...] = BUILTIN,
+    once: bool = False,
+    watermark: str = WATERMARK,
+) -> DataFrame:
+    """A check event per judged resource, as it arrives; checks over several resources wait for completion.
+
+    ``once`` suppresses the events of re-delivered resources, at the price of state.
+    """
+    homes = home_rows(resources, checks, links=False).withColumn("path", F.lit(HOME_PATH))
     usable = F.col("home")["error"].isNull() & (F.col("home")["status"] < 400)
+    homes, texts = homes.filter(usable), text_rows(resources, checks)
+    if once:
+        homes, texts = dedup(homes, watermark), dedup(texts, watermark)
     of_home = [(c, F.col("home")[c.key]) for c in of_stage(checks, HOME)]
     of_text = [(c, F.col(c.key)) for s in TEXT_STAGES for c in of_stage(checks, s)]
-    return _emit(homes.filter(usable), of_home, checks).unionByName(
-        _emit(text_rows(resources, checks), of_text, checks)
-    )
+    return _emit(homes, of_home, checks).unionByName(_emit(texts, of_text, checks))
 
 
 def error_events(resources: DataFrame) -> DataFrame:
@@ -102,7 +113,7 @@ def completed_sites(
     Rows are judged before they enter the state, so the state holds reasons and
     codes but no bodies.
     """
-    fresh = dedup(judged_rows(resources, checks), watermark)
+    fresh = judged_rows(resources, checks).withWatermark("fetched_at", watermark)
     keys = ["scan_id", F.session_window("fetched_at", gap)]
     sites = fold_events(fresh, keys, checks)
     return with_checks(sites, checks)

@@ -101,16 +101,19 @@ def _(d):
 
 @query("stream_parity", "SELECT scan_id, key, status, reason, detail FROM results")
 def _(d):
-    out, _ = drained(d, st.completed_sites(staged(d, [d.resources], True)), "sites")
+    """Every third scan is delivered twice; the result is that of the batch audit."""
+    again = d.resources.filter(F.col("scan_id") % 3 == 0)
+    out, _ = drained(d, st.completed_sites(staged(d, [d.resources, again], True)), "sites")
     return check_results(out).select("scan_id", "key", "status", "reason", "detail")
 
 
-@query("stream_dedup", _SCORES)
+@query("stream_dedup", _EVENTS)
 def _(d):
-    """Every third scan is delivered twice."""
+    """Every third scan is delivered twice at once, yet each of its events is emitted once."""
     again = d.resources.filter(F.col("scan_id") % 3 == 0)
-    out, _ = drained(d, st.completed_sites(staged(d, [d.resources.unionByName(again)], True)), "sites")
-    return scoring.scan_scores(out)
+    arriving = staged(d, [d.resources.unionByName(again)])
+    out, _ = drained(d, st.check_events(arriving, once=True), "events")
+    return out.select(*_EVENT_COLUMNS)
 
 
 @query("stream_late", "SELECT CAST(count(*) AS BIGINT) AS n_dropped, 0 AS n_late_sites FROM pg WHERE i % 10 = 0")

@@ -30,6 +30,7 @@ from crawlgauge.sources.tables import HOME_PATH
 
 WATERMARK = "2 minutes"
 SESSION_GAP = "2 minutes"
+DEDUP_SLICES = 16
 
 
 def judged_rows(resources: DataFrame, checks: tuple[Check, ...] = BUILTIN) -> DataFrame:
@@ -41,10 +42,16 @@ def judged_rows(resources: DataFrame, checks: tuple[Check, ...] = BUILTIN) -> Da
 
 
 def dedup(rows: DataFrame, watermark: str = WATERMARK) -> DataFrame:
-    """Drop re-delivered resources; state per resource expires with the watermark."""
-    return rows.withWatermark("fetched_at", watermark).dropDuplicatesWithinWatermark(
-        ["scan_id", "path"]
+    """Drop re-delivered resources; state per resource expires with the watermark.
+
+    Copies of one resource are first dropped per slice of the input, so that a
+    resource delivered very often reaches no single task with all its copies.
+    """
+    sliced = rows.withColumn("_slice", F.pmod(F.spark_partition_id(), F.lit(DEDUP_SLICES)))
+    per_slice = sliced.withWatermark("fetched_at", watermark).dropDuplicatesWithinWatermark(
+        ["scan_id", "path", "_slice"]
     )
+    return per_slice.dropDuplicatesWithinWatermark(["scan_id", "path"]).drop("_slice")
 
 
 def _emit(rows: DataFrame, outcomes: list[tuple[Check, Column]], checks: tuple[Check, ...]) -> DataFrame:

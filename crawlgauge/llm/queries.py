@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlgauge.llm import bpe, decontaminate, sharding
+from crawlgauge.llm import bpe, decontaminate, pii_crf, sharding
 from crawlgauge.llm.common import arrow_batches, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,26 @@ def op8_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
         "virtual_slot",
         "map_version",
     )
+
+
+def _joined_spans(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+@query
+def op9_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text: the fixed patterns, and the spans that the CRF adds."""
+    arrow_batches(spark)
+    found = table(spark, sf_dir, "documents").select("doc_id", pii_crf.find(F.col("text")).alias("found"))
+    base = F.filter("found", lambda s: s["base"])
+
+    def count(kind: str) -> Column:
+        own = F.filter("found", lambda s: s["base"] & (s["kind"] == kind))
+        return F.size(own).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        *map(count, ("email", "ip", "card", "phone")),
+        F.sha2(_joined_spans(base), 256).alias("base_sha256"),
+        _joined_spans(F.col("found")).alias("spans"),
+    )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlgauge.llm import bpe, decontaminate, pii_crf, sharding
+from crawlgauge.llm import bpe, decision_list, decontaminate, pii_crf, sharding
 from crawlgauge.llm.common import arrow_batches, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,15 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
     return fn
 
 
+@query
+def op3_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every text, and the verdict of the rules learned from the labelled ones."""
+    arrow_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = decision_list.learn_from(docs, table(spark, sf_dir, "labels"))
+    return decision_list.judge(docs, rules).select("doc_id", *decision_list.COUNTS, "base_failed", "kept")
+
+
 @query
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text, and the bytes they decode to, as digests."""

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from crawlgauge.plans.session import materialize, scratch_path
 
-__all__ = ["materialize", "scratch_path", "table", "arrow_batches", "per_batch", "words_of", "texts_of"]
+__all__ = ["materialize", "scratch_path", "table", "arrow_batches", "per_batch", "word_codes", "words_of"]
 
 # Rows and bytes a Python task holds at a time; results do not depend on them.
 BATCH_ROWS = 1000
@@ -37,11 +39,22 @@ def per_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch]):
     return run
 
 
+def word_codes(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Words of a batch as codes into a list of distinct words, and where each text's words end.
+
+    Words are [^\\x20\\x09-\\x0D]+ after lower-casing A-Z if asked; null texts have none. Text i has the
+    codes from ends[i] to ends[i + 1].
+    """
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    flat = split.flatten()
+    real = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
+    offsets = np.asarray(split.offsets) - split.offsets[0].as_py()
+    ends = np.concatenate([[0], np.cumsum(real)])[offsets]
+    coded = flat.filter(pa.array(real)).cast(pa.large_binary()).dictionary_encode()
+    return coded.indices.to_numpy(), ends, coded.dictionary.to_pylist()
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Words [^\\x20\\x09-\\x0D]+ as UTF-8; bytes.split() cuts at exactly these six characters."""
     return text.encode().split() if text else []
-
-
-def texts_of(column: pa.Array) -> list[str]:
-    """Texts of an Arrow column, null as the empty text."""
-    return [t or "" for t in column.to_pylist()]

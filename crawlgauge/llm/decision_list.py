@@ -21,10 +21,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from crawlgauge.llm.common import word_codes
+
 # Labelled rows that a list is learned from, at most.
 SAMPLE = 20_000
 # Share of a rule's cover that must be of the rejected class, on the growing and the pruning examples.
@@ -76,17 +77,12 @@ def repeated_words(codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 def count_batch(texts: pa.Array) -> dict[str, np.ndarray]:
     """The counts of a batch of texts."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    rows = texts.to_pylist()
+    rows = [t or "" for t in texts.to_pylist()]
     raw = [t.encode() for t in rows]
     byte_ends = np.cumsum([0, *map(len, raw)])
     classes = _CLASS[np.frombuffer(b"".join(raw), np.uint8)]
     of_class = {c: _per_text(classes == c, byte_ends) for c in (_SYMBOL, _UPPER, _DIGIT, _SPACE, _REST, _MARK)}
-    words = pc.ascii_split_whitespace(texts)
-    flat = words.flatten()
-    real = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
-    word_ends = np.concatenate([[0], np.cumsum(real)])[np.asarray(words.offsets) - words.offsets[0].as_py()]
-    codes = flat.filter(pa.array(real)).dictionary_encode().indices.to_numpy()
+    codes, word_ends, _ = word_codes(texts, lower=False)
     lines = [[line for line in t.split("\n") if line.strip(" \t\n\v\f\r")] for t in rows]
     return {
         "n_words": np.diff(word_ends),

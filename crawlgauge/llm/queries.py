@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlgauge.llm import bpe, decision_list, decontaminate, pii_crf, sharding
+from crawlgauge.llm import bpe, decision_list, decontaminate, jaccard_join, pii_crf, sharding
 from crawlgauge.llm.common import arrow_batches, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,6 +87,13 @@ FROM d LEFT JOIN pos USING (r) LEFT JOIN ids USING (r)
 """
 
 
+@query
+def op7_token_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    arrow_batches(spark)
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in one of eight shards of near equal bytes."""

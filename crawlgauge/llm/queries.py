@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlgauge.llm import bpe, decision_list, decontaminate, jaccard_join, pii_crf, sharding
+from crawlgauge.llm import bpe, decision_list, decontaminate, jaccard_join, lm, pii_crf, sharding
 from crawlgauge.llm.common import arrow_batches, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,13 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
     return fn
 
 
+@query
+def op1_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores of all texts."""
+    arrow_batches(spark)
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of every text, and the verdict of the rules learned from the labelled ones."""

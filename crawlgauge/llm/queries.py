@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlgauge.llm import bpe, decision_list, decontaminate, jaccard_join, lm, pii_crf, sharding
-from crawlgauge.llm.common import arrow_batches, table
+from crawlgauge.llm import bpe, decision_list, decontaminate, jaccard_join, lm, pii_crf, sharding, token_files
+from crawlgauge.llm.common import arrow_batches, scratch_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -143,3 +143,12 @@ def op9_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(_joined_spans(base), 256).alias("base_sha256"),
         _joined_spans(F.col("found")).alias("spans"),
     )
+
+
+@query
+def op10_ranked_varbytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, written to files and read back."""
+    arrow_batches(spark, 4000)
+    folder = scratch_path(spark, "token-files")
+    token_files.write_files(table(spark, sf_dir, "documents"), folder)
+    return token_files.read_files(spark, folder, digest=True)

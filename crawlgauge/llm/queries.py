@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlgauge.llm import bpe, decision_list, decontaminate, jaccard_join, lm, pii_crf, sharding, token_files
+from crawlgauge.llm import bpe, decision_list, decontaminate, html_density, jaccard_join, lm, pii_crf, sharding, token_files
 from crawlgauge.llm.common import arrow_batches, scratch_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,6 +49,14 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op5_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The article of every page."""
+    arrow_batches(spark)
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", html_density.extract(F.col("html")).alias("text"))
+    return pages.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 @query
 def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in every document."""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlgauge.llm import bpe, decision_list, decontaminate, html_density, jaccard_join, lm, pii_crf, sharding, token_files
+from crawlgauge.llm import bpe, decision_list, decontaminate, html_density, jaccard_join, lm, pii_crf, sharding, token_files, weak_labels
 from crawlgauge.llm.common import arrow_batches, scratch_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,14 @@ def op1_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by a scorer trained on posterior labels."""
+    arrow_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return weak_labels.classify(docs).select("doc_id", "score", "kept")
+
+
 @query
 def op3_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of every text, and the verdict of the rules learned from the labelled ones."""

@@ -6,15 +6,15 @@ distinct sets (classes) and never lists the pairs of a group:
 1. Tokens. A class is described by a few tokens: the shingles are dealt into parts by hash, and a token is the
    digest of one part. Parts outnumber the shingles in which two linked sets can differ, so linked sets
    have a token in common. Schemes depend on the size, and every class also speaks the scheme of the next
-   larger sizes. Parts without shingles give no token; a class that has such a part repeats the scheme
-   under the next seed, up to a seed that leaves none empty, so nothing is lost.
-2. Groups. Each class points to the most similar of the smallest classes it shares a token with; the trees
+   larger sizes. Parts without shingles give no token; a class with too few filled parts repeats the scheme under
+   the next seed, up to a seed that fills enough, so nothing is lost.
+2. Groups. Of the smallest classes of its tokens, each class points to the one it shares most tokens with; the trees
    of these pointers hold similar classes and are cut by hash into groups of bounded size.
 3. Matrix. Row token, column group, set where a member has the token: a column is the token union of its
    group. Two groups without a common row have no link between them and stay closed.
 4. Opened groups. Members in different components are compared by parity sketches: the number of differing
    bits never exceeds the number of differing shingles, so a pair above the bound is no link. What is left
-   is verified on the shingles themselves.
+   is verified on the shingles themselves: first the closest pair of each member and component, then the rest.
 
 Defined cases: null and empty texts have an empty set and link with nothing, not even with each other; a text
 with fewer than SHINGLE words has its whole sequence as its only shingle; equal texts and repeated rows are
@@ -24,6 +24,7 @@ and classes are told apart by 64-bit hashes.
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
@@ -110,9 +111,16 @@ def bucket_of(n: int, num: int = NUM, den: int = DEN) -> int:
     return bisect_right(_bounds(num, den), n) - 1
 
 
-def parts_of(bucket: int, num: int = NUM, den: int = DEN) -> int:
-    """One part more than two linked sets, neither beyond the bucket, can differ in."""
-    return allowed(2 * (_bounds(num, den)[bucket + 1] - 1), num, den) + 1
+@lru_cache(maxsize=4096)
+def parts_of(bucket: int, num: int = NUM, den: int = DEN) -> tuple[int, int]:
+    """Parts of a scheme, and how many of them must hold shingles.
+
+    Two linked sets, neither beyond the bucket, differ in fewer parts than must hold shingles, so one of these agrees.
+    The parts exceed that number by twice the empty ones to be expected of the smallest sets that use the scheme.
+    """
+    bounds = _bounds(num, den)
+    filled = allowed(2 * (bounds[bucket + 1] - 1), num, den) + 1
+    return filled + math.ceil(2 * filled * math.exp(-bounds[max(0, bucket - 1)] / filled)), filled
 
 
 def tokens_of(tokens: np.ndarray, num: int = NUM, den: int = DEN) -> np.ndarray:
@@ -121,7 +129,7 @@ def tokens_of(tokens: np.ndarray, num: int = NUM, den: int = DEN) -> np.ndarray:
         return np.empty(0, np.int64)
     own, out = bucket_of(len(tokens), num, den), []
     for scheme in (own, own + 1):
-        parts, seed = parts_of(scheme, num, den), 0
+        (parts, needed), seed = parts_of(scheme, num, den), 0
         while True:
             at = (_mixed(tokens + np.uint64(seed)) % np.uint64(parts)).astype(np.int64)
             digest = np.zeros(parts, np.uint64)
@@ -129,7 +137,7 @@ def tokens_of(tokens: np.ndarray, num: int = NUM, den: int = DEN) -> np.ndarray:
             filled = np.bincount(at, minlength=parts) > 0
             name = (np.arange(parts, dtype=np.uint64) * _ODD[2]) + np.uint64(scheme * 1009 + seed)
             out.append(_mixed(digest ^ _mixed(name))[filled])
-            if filled.all():
+            if filled.sum() >= needed:
                 break
             seed += 1
     return np.concatenate(out).view(np.int64)
@@ -176,11 +184,12 @@ def _members(num: int, den: int, size: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
+                    batch.column("text_hash"),
                     pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([sketch_of(s, num, den) if len(s) else None for s in sets], pa.binary()),
                 ],
-                ["doc_id", "cls", "n_shingles", "sketch"],
+                ["doc_id", "text_hash", "cls", "n_shingles", "sketch"],
             )
 
     return run
@@ -303,52 +312,60 @@ def _sets_for(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int)
     return materialize(own.groupBy("cls").agg(F.first("shingles").alias("shingles")), "class-sets")
 
 
-def _open_groups(num: int, den: int):
-    """Pairs of members, one of each group, that may link and are in different components."""
+def _open_groups(num: int, den: int, nearest: bool):
+    """Pairs of members, one of each group, that may link and are in different components.
+
+    ``nearest`` keeps, for each member of the left group and each component of the right one, only the closest pair.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found_a, found_b = [], []
+            found = [np.empty((2, 0), np.int64)]
             for row in batch.to_pylist():
-                left, right, same = row["left"], row["right"], row["g"] == row["h"]
+                left, right = row["left"], row["right"]
                 sizes_a, sizes_b = ({len(m["sketch"]) for m in side} for side in (left, right))
                 for x in sizes_a:
                     for y in sizes_b:
                         own = [m for m in left if len(m["sketch"]) == x]
                         other = [m for m in right if len(m["sketch"]) == y]
-                        a, b = _candidates(own, other, min(x, y), num, den)
-                        keep = a < b if same else a != b
-                        found_a.append(a[keep])
-                        found_b.append(b[keep])
-            if found_a:
-                a, b = np.concatenate(found_a), np.concatenate(found_b)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                        found.append(_candidates(own, other, min(x, y), num, den, nearest))
+            pairs = np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
     return run
 
 
-def _candidates(left: list[dict], right: list[dict], size: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+def _candidates(left: list[dict], right: list[dict], size: int, num: int, den: int, nearest: bool) -> np.ndarray:
     column = lambda rows, name: np.array([m[name] for m in rows], np.int64)
-    n, m = column(left, "n"), column(right, "n")
+    n, m, comp = column(left, "n"), column(right, "n"), column(right, "comp")
     bound = allowed(n[:, None] + m[None, :], num, den)
-    apart = column(left, "comp")[:, None] != column(right, "comp")[None, :]
-    near = apart & (np.abs(n[:, None] - m[None, :]) <= bound)
-    if near.any():
-        bits = differing_bits(
-            _folded([x["sketch"] for x in left], size), _folded([x["sketch"] for x in right], size)
-        )
-        near &= bits <= bound
-    i, j = np.nonzero(near)
-    return column(left, "cls")[i], column(right, "cls")[j]
+    near = (column(left, "comp")[:, None] != comp[None, :]) & (np.abs(n[:, None] - m[None, :]) <= bound)
+    if not near.any():
+        return np.empty((2, 0), np.int64)
+    bits = differing_bits(_folded([x["sketch"] for x in left], size), _folded([x["sketch"] for x in right], size))
+    i, j = np.nonzero(near & (bits <= bound))
+    if nearest and len(i):
+        sort = np.lexsort((bits[i, j], comp[j], i))
+        i, j = i[sort], j[sort]
+        first = np.ones(len(i), bool)
+        first[1:] = (i[1:] != i[:-1]) | (comp[j[1:]] != comp[j[:-1]])
+        i, j = i[first], j[first]
+    return np.stack([column(left, "cls")[i], column(right, "cls")[j]])
 
 
 def near_duplicates(
     docs: DataFrame, num: int = NUM, den: int = DEN, size: int = SHINGLE, group: int = GROUP
 ) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (the smallest doc_id of its component)."""
+    """One row per document: doc_id, n_shingles, component_id (the smallest doc_id of its component).
+
+    Further columns: text_hash, and component, the same number for all rows of a component and null for empty sets.
+    """
     docs = docs.select("doc_id", "text")
     members = materialize(
-        docs.mapInArrow(_members(num, den, size), "doc_id long, cls long, n_shingles long, sketch binary"), "members"
+        docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(
+            _members(num, den, size), "doc_id long, text_hash long, cls long, n_shingles long, sketch binary"
+        ),
+        "members",
     )
     classes = materialize(
         members.filter("cls IS NOT NULL")
@@ -367,23 +384,20 @@ def near_duplicates(
         "shared-tokens",
     )
 
-    # The nearest first class of every class, and the links that hold among these pairs.
+    # The first class that every class shares most tokens with, and the links that hold among these pairs.
+    times = shared.filter("cls > first").groupBy("cls", "first").agg(F.count("*").alias("n"))
+    most = times.groupBy("cls").agg(F.min(F.struct((-F.col("n")).alias("n"), "first")).alias("m"))
     sketch = lambda side: classes.select(F.col("cls").alias(side), F.col("sketch").alias(f"s{side}"), F.col("n").alias(f"n{side}"))  # noqa: E731,E501
-    near = (
-        shared.filter("cls > first")
-        .select(F.col("first").alias("a"), F.col("cls").alias("b"))
-        .distinct()
+    nearest = materialize(
+        most.select(F.col("m.first").alias("a"), F.col("cls").alias("b"))
         .join(sketch("b"), "b")
         .join(sketch("a"), "a")
-        .select("a", "b", (F.col("na") + F.col("nb")).alias("total"), _distance("sa", "sb").alias("bits"))
-    )
-    nearest = materialize(
-        near.groupBy("b").agg(F.min(F.struct("bits", "a", "total")).alias("m")).select("b", "m.*"), "nearest"
+        .select("a", "b", (F.col("na") + F.col("nb")).alias("total"), _distance("sa", "sb").alias("bits")),
+        "nearest",
     )
     plausible = nearest.filter(F.col("bits") <= allowed(F.col("total"), num, den)).select("a", "b")
     first_sets = _sets_for(docs, classes, plausible, size)
     first_links = materialize(_verified(plausible, first_sets, num, den), "first-links")
-    linked = components(first_links)
 
     # Groups of similar classes, and the matrix of tokens and groups.
     trees = roots(nearest.select(F.col("b").alias("node"), F.col("a").alias("parent")), "trees")
@@ -400,37 +414,67 @@ def near_duplicates(
         ),
         "groups",
     )
-    comp = linked.select(F.col("node").alias("cls"), F.col("root").alias("comp"))
-    member = F.struct("cls", F.coalesce("comp", "cls").alias("comp"), "n", "sketch")
-    columns = materialize(
-        placed.join(classes, "cls")
-        .join(comp, "cls", "left")
-        .groupBy("g")
-        .agg(F.collect_list(member).alias("members"), F.count_distinct(F.coalesce("comp", "cls")).alias("n_comp")),
-        "group-members",
-    )
     matrix = materialize(shared.select("token", "cls").join(placed, "cls").select("token", "g").distinct(), "matrix")
     other = matrix.select("token", F.col("g").alias("h"))
-    across = matrix.join(other, "token").filter("g < h").select("g", "h").distinct()
-    within = columns.filter("n_comp > 1").select("g", F.col("g").alias("h"))
-    opened = (
-        across.unionByName(within)
-        .join(columns.select("g", F.col("members").alias("left")), "g")
-        .join(columns.select(F.col("g").alias("h"), F.col("members").alias("right")), "h")
-    )
-    candidates = materialize(
-        opened.repartition("g", "h").mapInArrow(_open_groups(num, den), "a long, b long").distinct(), "candidates"
-    )
-    second_sets = _sets_for(docs, classes, candidates, size)
-    second_links = _verified(candidates, second_sets, num, den)
-    final = components(first_links.unionByName(second_links))
+    across = materialize(matrix.join(other, "token").filter("g < h").select("g", "h").distinct(), "open-groups")
+
+    # First only the closest pairs between components, then, when most of them have merged, all that are left.
+    links = first_links
+    for nearest_only in (True, False):
+        comp = components(links).select(F.col("node").alias("cls"), F.col("root").alias("comp"))
+        member = F.struct("cls", F.coalesce("comp", "cls").alias("comp"), "n", "sketch")
+        columns = materialize(
+            placed.join(classes, "cls")
+            .join(comp, "cls", "left")
+            .groupBy("g")
+            .agg(F.collect_list(member).alias("members"), F.count_distinct(F.coalesce("comp", "cls")).alias("n_comp")),
+            "group-members",
+        )
+        within = columns.filter("n_comp > 1").select("g", F.col("g").alias("h"))
+        opened = (
+            across.unionByName(within)
+            .join(columns.select("g", F.col("members").alias("left")), "g")
+            .join(columns.select(F.col("g").alias("h"), F.col("members").alias("right")), "h")
+            .repartition("g", "h")
+        )
+        candidates = materialize(
+            opened.mapInArrow(_open_groups(num, den, nearest_only), "a long, b long").distinct(), "candidates"
+        )
+        more = _verified(candidates, _sets_for(docs, classes, candidates, size), num, den)
+        links = materialize(links.unionByName(more), "links")
+    final = components(links)
 
     # The smallest document of every component, for all members of its classes.
     joined = classes.join(final.withColumnRenamed("node", "cls"), "cls", "left").withColumn(
         "root", F.coalesce("root", "cls")
     )
     smallest = joined.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    labels = joined.select("cls", "root").join(smallest, "root").select("cls", "component_id")
+    labels = joined.select("cls", "root").join(smallest, "root")
     return members.join(labels, "cls", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
+        "doc_id",
+        "n_shingles",
+        F.coalesce("component_id", "doc_id").alias("component_id"),
+        "text_hash",
+        F.col("root").alias("component"),
+    )
+
+
+def one_of_each(docs: DataFrame, num: int = NUM, den: int = DEN, size: int = SHINGLE) -> DataFrame:
+    """Documents without near-duplicates: of each component the row with the smallest id, then text hash, stays.
+
+    Of rows that agree in both, the smallest in the order of all columns stays. Documents with an empty set all stay.
+    """
+    found = near_duplicates(docs, num, den, size)
+    rows = found.groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("copies"))
+    rows = materialize(rows, "component-rows")
+    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash", "copies"))
+    firsts = rows.filter("component IS NOT NULL").groupBy("component").agg(best.alias("m")).select("m.*")
+    empty = rows.filter("component IS NULL").withColumn("copies", F.lit(1).cast("long"))
+    columns = [F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th"), "copies"]
+    kept = _sized(materialize(firsts.select(*columns).unionByName(empty.select(*columns)), "first-rows"))
+    joined = docs.join(
+        kept, docs["doc_id"].eqNullSafe(kept["_id"]) & (F.xxhash64(docs["text"]) == kept["_th"]), "inner"
     )
+    single = joined.filter("copies = 1").select(*docs.columns)
+    copies = joined.filter("copies > 1").groupBy("_id", "_th").agg(F.min(F.struct(*docs.columns)).alias("d"))
+    return single.unionByName(copies.select("d.*"))

@@ -114,7 +114,8 @@ FROM d LEFT JOIN pos USING (r) LEFT JOIN ids USING (r)
 def op7_token_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     arrow_batches(spark)
-    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+    found = jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 @query

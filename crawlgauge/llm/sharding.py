@@ -56,11 +56,11 @@ def initial_map(stats: SlotStats, n_shards: int, n_slots: int = SLOTS) -> SlotMa
     return placed
 
 
-def rebalance(current: SlotMap, stats: SlotStats, n_shards: int) -> SlotMap:
+def rebalance(current: SlotMap, stats: SlotStats, n_shards: int, slack: float = 0.02) -> SlotMap:
     """Edit a map for another number of shards or other sizes, moving slots only where they help.
 
     Slots of removed shards move; then the fullest shard gives the emptiest one a slot for as long
-    as the larger of the two loads shrinks.
+    as the two differ by more than ``slack`` of the mean load and the larger of them shrinks.
     """
     size = {slot: stats.get(slot, (0, 0))[0] for slot in current}
     shards: dict[int, list[int]] = {shard: [] for shard in range(n_shards)}
@@ -80,7 +80,7 @@ def rebalance(current: SlotMap, stats: SlotStats, n_shards: int) -> SlotMap:
         full, empty = max(load, key=lambda k: (load[k], -k)), min(load, key=lambda k: (load[k], k))
         gap = load[full] - load[empty]
         fitting = [s for s in shards[full] if 0 < size[s] < gap]
-        if not fitting:
+        if not fitting or gap <= slack * sum(load.values()) / n_shards:
             break
         slot = min(fitting, key=lambda s: (abs(gap - 2 * size[s]), s))
         shards[full].remove(slot)

@@ -1,13 +1,15 @@
 """Signals read from raw HTML with regular expressions, one page per row.
 
 The expressions follow a lenient HTML tokenizer: comments and script/style
-contents are opaque, quoted attribute values may hold '>', and an unclosed
-comment or script runs to the end of the document.
+contents are opaque, quoted attribute values may hold any markup, and an
+unclosed comment or script runs to the end of the document. Patterns that look
+for something also match ordinary tags whole, so that nothing is found inside
+their attribute values.
 """
 
 from __future__ import annotations
 
-from html.entities import html5, name2codepoint
+from html.entities import html5
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,33 +29,40 @@ def _raw_text(name: str) -> str:
     )
 
 
-# Alternatives share the leading '<', so most positions are rejected by one comparison.
+# Alternatives share the leading '<', so most positions are rejected by one comparison. An ordinary tag is group 1.
 _OPAQUE = rf"(?is)<(?:!--.*?(?:-->|\z)|{_raw_text('script')}|{_raw_text('style')})"
+_TOKEN = rf"{_OPAQUE}|(</?[a-z]{_ATTRS}>)"
 
 # Breaks between text runs while markup is being removed.
 _CUT = "\x01"
 _CUTS = "[\x01-\x03]++"
 # An opening body tag becomes \x02\x03, a closing body or html tag \x02/\x03.
 _BODY_BOUND = rf"(?i)<(?:body|(/)(?:body|html))(?=[\s/>]){_ATTRS}>"
+_FRAME = rf"(?i)<html(?=[\s/>]){_ATTRS}>"
 _BODY_OPEN, _BODY_CLOSE = "\x02\x03", "\x02/\x03"
-_NOT_TEXT = (
-    rf"(?is)<(?:template(?=[\s/>]){_ATTRS}>.*?(?:</template\s*>|\z)"
-    rf"|rt(?=[\s/>]){_ATTRS}>.*?(?:</rt\s*>|(?=</ruby)|\z)"
-    rf"|rp(?=[\s/>]){_ATTRS}>.*?(?:</rp\s*>|(?=</ruby)|\z)"
-    rf"|/?[a-z]{_ATTRS}>|[!?/][^>]*>)"
-)
+
+
+def _not_text(tag: str) -> str:
+    """Elements without text, tags that match ``tag``, and declarations."""
+    return (
+        rf"(?is)<(?:template(?=[\s/>]){_ATTRS}>.*?(?:</template\s*>|\z)"
+        rf"|rt(?=[\s/>]){_ATTRS}>.*?(?:</rt\s*>|(?=</ruby)|\z)"
+        rf"|rp(?=[\s/>]){_ATTRS}>.*?(?:</rp\s*>|(?=</ruby)|\z)"
+        rf"|{tag}{_ATTRS}>|(?!/(?:body|html)[\s/>])[!?/][^>]*>)"
+    )
+
+
+_NOT_TEXT = _not_text("/?[a-z]")
+# The frame of the document stays, for its bounds to be read.
+_NOT_TEXT_IN_FRAME = _not_text(r"(?!/?(?:body|html)[\s/>])/?[a-z]")
 
 # Element ids of client-side application roots, in order of preference.
 CSR_ROOT_IDS = ["root", "app", "__next", "gatsby-focus-wrapper", "nuxt", "__nuxt"]
 
 # Character references decoded without a table lookup, being the usual ones.
 _COMMON_ENTITIES = ["nbsp", "quot", "lt", "gt", "copy", "middot"]
-# The remaining names: HTML 4 names plus every HTML 5 name of a Latin or currency character.
-_ENTITY_CHARS = {name: chr(code) for name, code in name2codepoint.items()} | {
-    name[:-1]: char
-    for name, char in html5.items()
-    if name.endswith(";") and len(char) == 1 and ord(char) < 0x180
-}
+# All names of the HTML standard, without the semicolon.
+_ENTITY_CHARS = {name[:-1]: char for name, char in html5.items() if name.endswith(";")}
 # Numeric references 128-159 are read as Windows-1252.
 _C1_CHARS = {c: bytes([c]).decode("cp1252", "replace") for c in range(128, 160)}
 
@@ -78,11 +87,12 @@ def _char(code: Column) -> Column:
 def _decode_reference(part: Column) -> Column:
     """Decode one text piece that starts right after an ampersand."""
     dec = F.regexp_extract(part, r"^#([0-9]+)", 1)
-    hexa = F.regexp_extract(part, r"^#[xX]([0-9a-fA-F]+)", 1)
+    hexa = F.regexp_extract(part, r"^#[xX]0*([0-9a-fA-F]+)", 1)
     name = F.regexp_extract(part, r"^[a-zA-Z][-.a-zA-Z0-9]*", 0)
     known = F.try_element_at(_literal_map(_ENTITY_CHARS), name)
-    code = F.when(dec != "", dec.try_cast("bigint")).otherwise(
-        F.conv(F.substring(hexa, -8, 8), 16, 10).try_cast("bigint")
+    # Eight digits are beyond the last character already.
+    code = F.when(dec != "", dec.try_cast("bigint")).when(
+        F.length(hexa) <= 8, F.conv(hexa, 16, 10).try_cast("bigint")
     )
     return (
         F.when(
@@ -133,23 +143,23 @@ def attribute(tag: Column, name: str) -> Column:
     return F.regexp_replace(F.nullif(F.regexp_extract(tag, walk, 1), F.lit("")), "^[\"']|[\"']$", "")
 
 
-def tags(markup: Column, name: str) -> Column:
-    """Open tags of one element name, in document order."""
-    return find_all(markup, rf"(?i)<{name}(?=[\s/>]){_ATTRS}>")
+def tokens(html: Column) -> Column:
+    """Tags, comments and whole script/style elements, in document order."""
+    return find_all(html, _TOKEN)
 
 
-def opaque_blocks(html: Column) -> Column:
-    """Comments and whole script/style elements, in document order."""
-    return find_all(html, _OPAQUE)
+def named(found: Column, name: str) -> Column:
+    """Open tags, or whole elements, of one name."""
+    return F.filter(found, lambda t: t.rlike(rf"(?i)^<{name}(?=[\s/>])"))
 
 
-def script_blocks(html: Column) -> Column:
-    return F.filter(opaque_blocks(html), lambda b: b.rlike("(?i)^<script"))
+def script_blocks(found: Column) -> Column:
+    return named(found, "script")
 
 
 def markup_only(html: Column) -> Column:
     """The document with comments, scripts and styles cut out."""
-    return F.regexp_replace(html, _OPAQUE, _CUT)
+    return F.regexp_replace(html, _TOKEN, f"{_CUT}$1")
 
 
 def script_open(block: Column) -> Column:
@@ -178,32 +188,31 @@ def ld_json(scripts: Column) -> Column:
     return F.transform(typed, script_body)
 
 
-def _has_tag(markup: Column, name: str, attr: str, value: str) -> Column:
-    # The containment test lets most pages skip the tag scan.
-    hit = F.exists(
-        tags(markup, name), lambda t: F.coalesce(attribute(t, attr), F.lit("")) == value
+def _has_tag(found: Column, name: str, attr: str, value: str) -> Column:
+    """Whether a tag has an attribute of exactly this value; the cheap tests come first."""
+    return F.exists(
+        found,
+        lambda t: t.contains(value)
+        & t.rlike(rf"(?i)^<{name}(?=[\s/>])")
+        & (F.coalesce(attribute(t, attr), F.lit("")) == value),
     )
-    return F.when(markup.contains(value), hit).otherwise(F.lit(False))
 
 
-def has_og_title(markup: Column) -> Column:
-    return _has_tag(markup, "meta", "property", "og:title")
+def has_og_title(found: Column) -> Column:
+    return _has_tag(found, "meta", "property", "og:title")
 
 
-def has_password(markup: Column) -> Column:
-    return _has_tag(markup, "input", "type", "password")
+def has_password(found: Column) -> Column:
+    return _has_tag(found, "input", "type", "password")
 
 
-def has_itemprop_price(markup: Column) -> Column:
-    with_attr = F.filter(
-        find_all(markup, rf"(?i)<[a-z]{_ATTRS}>"), lambda t: t.rlike(r"(?i)\sitemprop\s*=")
-    )
-    hit = F.exists(with_attr, lambda t: F.coalesce(attribute(t, "itemprop"), F.lit("")) == "price")
-    return F.when(matches(markup, r"(?i)itemprop"), hit).otherwise(F.lit(False))
+def has_itemprop_price(found: Column) -> Column:
+    # Script and style elements are listed with their contents, which are no attributes.
+    return _has_tag(found, "(?!script|style)[a-z][^\\s/>]*+", "itemprop", "price")
 
 
-def div_ids(markup: Column) -> Column:
-    with_id = F.filter(tags(markup, "div"), lambda t: t.rlike(r"(?i)\sid\s*="))
+def div_ids(found: Column) -> Column:
+    with_id = F.filter(named(found, "div"), lambda t: t.rlike(r"(?i)\sid\s*="))
     return F.array_compact(F.transform(with_id, lambda t: attribute(t, "id")))
 
 
@@ -215,8 +224,9 @@ def csr_root(ids: Column) -> Column:
 
 def bare_text(markup: Column) -> Column:
     """Undecoded text with control characters where markup stood and where the body starts and ends."""
-    bounded = F.regexp_replace(markup, _BODY_BOUND, "\x02$1\x03")
-    return F.regexp_replace(bounded, _NOT_TEXT, _CUT)
+    framed = F.regexp_replace(markup, _NOT_TEXT_IN_FRAME, _CUT)
+    bounded = F.regexp_replace(framed, _BODY_BOUND, "\x02$1\x03")
+    return F.regexp_replace(bounded, _FRAME, _CUT)
 
 
 def body_part(cut: Column) -> Column:
@@ -249,19 +259,24 @@ def text_concat(cut: Column) -> Column:
     return F.array_join(F.transform(runs, shrink), "")
 
 
+_MARK, _MARK_END = "\x04", "\x05"
+_LINK = rf"(?i)(<(?!a[\s/>])/?[a-z]{_ATTRS}>)|<a(?=[\s/>])({_ATTRS})>"
+
+
 def anchors(markup: Column) -> Column:
     """Links in document order: (pos, text, href); text lower-cased, runs fused.
 
     Each ``transform`` binds what the next one reads more than once.
     """
-    # What follows each '<a', up to the next one.
-    pieces = after_first(F.split(F.concat(F.lit(_CUT), markup), r"(?i)<a(?=[\s/>])"))
+    # Every tag is kept and followed by marks; between the marks are the attributes if it opens a link.
+    marked = F.regexp_replace(markup, _LINK, f"$1{_MARK}$2{_MARK_END}")
+    pieces = after_first(F.split(F.replace(marked, F.lit(_MARK + _MARK_END), F.lit("")), _MARK))
     split_up = F.transform(
         pieces,
         lambda p, i: F.struct(
             i.alias("pos"),
-            attribute(p, "href").alias("href"),
-            F.regexp_extract(p, rf"(?is)^{_ATTRS}>(.*?)(?:</a(?=[\s/>])|\z)", 1).alias("inner"),
+            attribute(F.substring_index(p, _MARK_END, 1), "href").alias("href"),
+            F.regexp_extract(p, rf"(?is){_MARK_END}(.*?)(?:</a(?=[\s/>])|\z)", 1).alias("inner"),
         ),
     )
     links = F.filter(split_up, lambda a: a["href"].isNotNull())
@@ -315,21 +330,22 @@ def with_signals(pages: DataFrame, html: str = "html") -> DataFrame:
     source = F.col(html)
     parsed = pages.select(
         *keep,
-        script_blocks(source).alias("_scripts"),
+        tokens(source).alias("_tokens"),
         markup_only(source).alias("_markup"),
         F.lower(source).alias("_lower"),
     )
-    scripts, markup = F.col("_scripts"), F.col("_markup")
+    found, markup, scripts = F.col("_tokens"), F.col("_markup"), F.col("_scripts")
+    parsed = parsed.select("*", script_blocks(found).alias("_scripts"))
     parts = parsed.select(
         *keep,
         consent_elements(F.col("_lower")).alias("consent_elements"),
         F.size(scripts).alias("script_count"),
         script_srcs(scripts).alias("script_srcs"),
         ld_json(scripts).alias("ld_json"),
-        has_og_title(markup).alias("has_og_title"),
-        has_itemprop_price(markup).alias("has_itemprop_price"),
-        has_password(markup).alias("has_password"),
-        div_ids(markup).alias("div_ids"),
+        has_og_title(found).alias("has_og_title"),
+        has_itemprop_price(found).alias("has_itemprop_price"),
+        has_password(found).alias("has_password"),
+        div_ids(found).alias("div_ids"),
         anchors(markup).alias("anchors"),
         bare_text(markup).alias("_bare"),
     )

@@ -37,19 +37,30 @@ def _item(v: Column) -> Column:
 def _node_items(node: Column) -> Column:
     """Declared types of one node; a missing, empty or zero value declares nothing."""
     declared = F.try_variant_get(node, '$["@type"]', "variant")
-    text = F.try_variant_get(declared, "$", "string")
-    blank = declared.isNull() | text.isNull() | text.isin("", "0", "0.0", "false", "{}")
+    text, kind = F.try_variant_get(declared, "$", "string"), _kind(declared)
+    number = kind.isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT") & (F.try_variant_get(declared, "$", "double") == 0)
+    nothing = (kind == "STRING") & (text == "") | (kind == "BOOLEAN") & (text == "false") | (kind == "OBJECT") & (text == "{}")
+    blank = declared.isNull() | text.isNull() | number | nothing
     none = F.array().cast(f"array<{_ITEM}>")
     listed = F.try_variant_get(declared, "$", "array<variant>")
     return (
-        F.when(_kind(declared) == "ARRAY", F.transform(listed, _item))
-        .when(blank | (_kind(declared) == "VOID"), none)
+        F.when(kind == "ARRAY", F.transform(listed, _item))
+        .when(blank | (kind == "VOID"), none)
         .otherwise(F.array(_item(declared)))
     )
 
 
+def _document(body: Column) -> Column:
+    """The one JSON document of a block; NULL if anything follows it.
+
+    The parser stops at the end of a document, so the block is read as the only member of a list as well.
+    """
+    alone = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), body, F.lit("]"))), "$", "array<variant>")
+    return F.when(F.size(alone) == 1, F.try_parse_json(body))
+
+
 def _block_items(body: Column) -> Column:
-    doc = F.try_parse_json(body)
+    doc = _document(body)
     graph = F.try_variant_get(doc, '$["@graph"]', "variant")
     members = F.try_variant_get(graph, "$", "array<variant>")
     # Members after the first one that is not an object are not reached.

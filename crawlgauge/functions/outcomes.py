@@ -140,7 +140,7 @@ def contact_parsability() -> Column:
         return F.when(F.col(n) > 0, F.concat(F.col(n).cast("string"), F.lit(f" {what}")))
 
     found = F.array_compact(
-        F.array(part("n_emails", "e-mail address(es)"), part("n_phones", "phone number(s)"))
+        F.array(part("n_emails", "readable mail contacts"), part("n_phones", "readable phone contacts"))
     )
     return choose((F.size(found) > 0, outcome("found", _joined(found))), otherwise=outcome("none"))
 

@@ -64,7 +64,10 @@ def url_join(base: Column, href: Column) -> Column:
     return (
         F.when(href.startswith("http"), href)
         .when(clean.startswith("//"), F.concat(scheme(base), F.lit(":"), clean))
-        .when(matches(clean, _HAS_SCHEME), clean)
+        .when(
+            matches(clean, _HAS_SCHEME),
+            F.concat(F.lower(F.substring_index(clean, ":", 1)), F.regexp_extract(clean, "(?s)^[^:]*(:.*)$", 1)),
+        )
         .when(path == "", F.concat(base, suffix))
         .otherwise(F.concat(base, _fold_dots(rooted), suffix))
     )

@@ -10,6 +10,7 @@ value before the exchange, and the latest fetch wins whatever the row order.
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -194,10 +195,13 @@ def assemble(
             text_rows(resources, checks).drop("path"), allowMissingColumns=True
         )
     by_scan = documents.groupBy("scan_id").agg(*home_aggs(), *text_aggs(checks))
+    # A scan of which any resource arrived is a scan: two narrow columns of all rows.
+    scans = resources.groupBy("scan_id").agg(F.max("site_url").alias("site_url"))
+    sites = scans.join(by_scan, "scan_id", "left")
     if not of_stage(checks, SITE):
-        return _site_rows(by_scan, checks, [])
+        return _site_rows(sites, checks, ["site_url"])
     probes = probe_rows(resources).groupBy("scan_id").agg(*probe_aggs())
-    return _site_rows(by_scan.join(probes, "scan_id", "left"), checks, [])
+    return _site_rows(sites.join(probes, "scan_id", "left"), checks, ["site_url"])
 
 
 def fold_events(events: DataFrame, keys: list, checks: tuple[Check, ...] = BUILTIN) -> DataFrame:
@@ -227,17 +231,23 @@ def scan_errors(sites: DataFrame) -> DataFrame:
         F.concat(F.lit("HTTP status "), home["status"].cast("string")),
         F.lit("homepage not fetched"),
     )
-    return sites.filter(~scannable()).select("scan_id", home["url"].alias("url"), why.alias("error"))
+    url = home["url"]
+    if "site_url" in sites.columns:
+        url = F.coalesce(url, normalize_url(F.col("site_url")))
+    return sites.filter(~scannable()).select("scan_id", url.alias("url"), why.alias("error"))
 
 
 # --- findings -------------------------------------------------------------------------------
 
 
-def _java_format(template: str, n_args: int = 3) -> str:
-    text = template.replace("%", "%%")
-    for i in range(n_args):
-        text = text.replace("{%d}" % i, f"%{i + 1}$s")
-    return text
+# Arguments that a wording can name: {0} to {8}.
+MAX_ARGS = 9
+
+
+def _java_format(template: str) -> str:
+    if re.search(r"\{(?:9|\d\d+)\}", template):
+        raise ValueError(f"a wording names at most {MAX_ARGS} arguments: {template}")
+    return re.sub(r"\{(\d)\}", lambda m: f"%{int(m[1]) + 1}$s", template.replace("%", "%%"))
 
 
 VERDICT = "struct<status:string,earned:int,detail:string,action:string>"
@@ -260,7 +270,7 @@ def verdicts(checks: tuple[Check, ...]) -> Column:
 
 
 def worded(template: Column, args: Column) -> Column:
-    values = [F.coalesce(F.try_element_at(args, F.lit(i)), F.lit("")) for i in (1, 2, 3)]
+    values = [F.coalesce(F.try_element_at(args, F.lit(i)), F.lit("")) for i in range(1, MAX_ARGS + 1)]
     return F.call_function("format_string", template, *values)
 
 

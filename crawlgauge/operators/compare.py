@@ -45,6 +45,8 @@ def compare(
 ) -> DataFrame:
     """One row per requested URL in request order, duplicates and failures kept.
 
+    A matrix of more than the default number of sites needs the same ``limit``.
+
     ``scored`` and ``errors`` are read twice and so should be stored tables: once
     for the latest scan of each URL, once for the results of the scans asked for.
     Popular URLs may be named by very many requests, so both joins from the

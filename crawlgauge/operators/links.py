@@ -42,10 +42,10 @@ def keyword_hit(text: Column, url: Column, page_type: str) -> Column:
 
 
 def fetch_path(url: Column, base: Column) -> Column:
-    """Path (with query) a link is fetched under; NULL if it is outside the site root."""
-    rest = F.regexp_replace(F.substring(url, F.char_length(base) + 1, F.char_length(url)), "#.*$", "")
+    """Path (with query) a link is fetched under; NULL if it is on another host. The scheme does not matter."""
+    rest = F.regexp_replace(F.regexp_replace(url, "^[^:/?#]+://[^/?#]*", ""), "(?s)#.*$", "")
     path = F.when(rest == "", F.lit("/")).when(rest.startswith("?"), F.concat(F.lit("/"), rest)).otherwise(rest)
-    return F.when(url.startswith(base), path)
+    return F.when(same_site(url, base), path)
 
 
 def _free_hit(page_type: str, taken: list[str]):

@@ -12,6 +12,8 @@ _RESULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     # A repeated JSON key keeps its last value instead of making the document unreadable.
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # Rows of one session are merged before they are shuffled, so copies of a hot scan shrink map-side.
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }
 
 _PLAN_CONF = {
@@ -21,8 +23,6 @@ _PLAN_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
-    # Rows of one session are merged before they are shuffled.
-    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
     # Stream state beyond executor memory.
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -51,7 +51,8 @@ def build_session(app: str = "crawlgauge", master: str | None = None, **conf: st
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: the cluster's spark.checkpoint.dir.
 
-    Only a session without one (a local test) gets a temporary folder.
+    A local session without one gets a temporary folder; on a cluster that is an error, as executors could not
+    read each other's files.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -59,6 +60,8 @@ def shared_dir(spark: SparkSession) -> str:
     existing = spark.sparkContext.getCheckpointDir()
     if existing:
         return existing
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     local = tempfile.mkdtemp(prefix="crawlgauge-")
     spark.sparkContext.setCheckpointDir(local)
     return local

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 # Left rows of one key that a single task is asked to take.
 ROWS_PER_SLICE = 200_000
-# Keys that may be split; any further key holds under 1/HOT_KEYS of the left rows.
-HOT_KEYS = 10_000
 
 
 def salted_join(
@@ -21,20 +19,15 @@ def salted_join(
     """Join ``left`` to a ``right`` that is unique on ``key``, splitting hot left keys.
 
     Left rows of each key are counted (partial aggregation, so a hot key costs one
-    row per map task). The hottest keys with more rows than ``rows_per_slice`` are
-    cut into slices, and their single right row is repeated once per slice. The
-    table of slice counts has at most HOT_KEYS rows by construction, so it can be
-    broadcast; every other key joins as usual, so the result is whole either way.
+    row per map task). Every key with more rows than ``rows_per_slice`` is cut into
+    slices, and its single right row is repeated once per slice; every other key joins
+    as usual. How the table of slice counts is joined is left to the optimizer, which knows its size.
     """
     if how not in ("left", "inner"):
         raise ValueError(f"unsupported join type: {how}")
     counts = left.groupBy(key).agg(F.count("*").alias("_n"))
-    # Ordered by key as well, so that both uses below see the same rows.
-    hot = F.broadcast(
-        counts.filter(F.col("_n") > rows_per_slice)
-        .orderBy(F.col("_n").desc(), key)
-        .limit(HOT_KEYS)
-        .select(key, F.ceil(F.col("_n") / rows_per_slice).cast("int").alias("_slices"))
+    hot = counts.filter(F.col("_n") > rows_per_slice).select(
+        key, F.ceil(F.col("_n") / rows_per_slice).cast("int").alias("_slices")
     )
     slices = F.coalesce("_slices", F.lit(1))
     sliced_right = (

@@ -20,6 +20,7 @@ from crawlgauge.operators.audit import (
     home_rows,
     of_stage,
     probe_rows,
+    scannable,
     text_rows,
     verdicts,
     with_checks,
@@ -29,7 +30,8 @@ from crawlgauge.registry import BUILTIN, HOME, Check
 from crawlgauge.sources.tables import HOME_PATH
 
 WATERMARK = "2 minutes"
-SESSION_GAP = "2 minutes"
+# The longest pause inside a scan.
+SESSION_GAP = "15 minutes"
 DEDUP_SLICES = 16
 
 
@@ -96,9 +98,11 @@ def check_events(
 def error_events(resources: DataFrame) -> DataFrame:
     """An error event per failed homepage, as it arrives; it ends the scan."""
     homes = home_rows(resources, (), links=False)
-    failed = homes.filter(F.col("home")["error"].isNotNull() | (F.col("home")["status"] >= 400))
+    failed = homes.filter(~scannable())
     why = F.coalesce(
-        F.col("home")["error"], F.concat(F.lit("HTTP status "), F.col("home")["status"].cast("string"))
+        F.col("home")["error"],
+        F.concat(F.lit("HTTP status "), F.col("home")["status"].cast("string")),
+        F.lit("homepage not fetched"),
     )
     return failed.select(
         "scan_id",

@@ -210,3 +210,18 @@ def test_signals_stay_in_the_jvm(spark, small):
     plan = H.with_signals(fx.homes(fx.pages(spark, small)))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "ArrowEval" not in plan
     assert F is not None
+
+
+def test_markup_inside_attribute_values_is_no_markup(spark):
+    pages = [
+        "<input value='<script src=\"https://cdn.cookielaw.org/x.js\"></script>'>",
+        '<p title="<!-- note">visible text</p><a href="/pricing">Go</a>',
+        """<div data-content="<a href='/pricing'>Pricing</a>">x</div>""",
+        '<iframe srcdoc="<script>x</script><script>y</script>"></iframe>',
+        "&#x100000041; &check; &#x0000000041;",
+    ]
+    df = spark.createDataFrame(list(enumerate(pages)), "i int, html string")
+    out = H.with_signals(df).orderBy("i").collect()
+    assert [r.script_count for r in out] == [0] * 5
+    assert [[(a.text, a.href) for a in r.anchors] for r in out] == [[], [("go", "/pricing")], [], [], []]
+    assert [r.text_all_joined for r in out] == ["", "visible text Go", "x", "", "\ufffd \u2713 A"]

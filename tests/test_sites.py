@@ -81,32 +81,25 @@ def test_array_and_long_forms_agree(spark, small):
         by_scan[scan] = (rank, lost)
 
 
-def greedy(anchors, base):
-    found, host = {}, base.split("://")[1]
-    for text, href in anchors:
-        if not href or href.startswith(("#", "mailto:", "tel:", "javascript:")):
-            continue
-        url = href if href.startswith("http") else base + href
-        if url.split("://")[1].split("/")[0] != host:
-            continue
-        for kind, words in links.SUBPAGE_KEYWORDS.items():
-            if kind not in found and any(w in text or w in url.lower() for w in words):
-                found[kind] = url
-                break
-    return found
-
-
-def test_link_choice_equals_the_greedy_walk(spark):
-    rng = random.Random(3)
-    texts = ["pricing", "our plans", "contact", "talk to us", "docs", "developer docs", "docs and pricing", "contact docs", "about", ""]
-    hrefs = ["/pricing", "/contact", "/docs", "/docs/pricing", "/x", "#a", "mailto:a@b.co", "https://other.example/docs",
-             "https://s.example/Developer", "/plans-contact", ""]
-    pages = [[(rng.choice(texts), rng.choice(hrefs)) for _ in range(rng.randrange(9))] for _ in range(400)]
-    html = ["<body>" + "".join(f'<a href="{h}">{t}</a>' for t, h in p) + "</body>" for p in pages]
+# Links of a page as (text, href), and the page chosen for each type.
+LINKS = [
+    ([("Pricing", "/pricing")], {"pricing": "/pricing"}),
+    ([("docs and pricing", "/a"), ("contact docs", "/b")], {"pricing": "/a", "contact": "/b"}),
+    ([("docs and pricing", "/a"), ("docs", "/b"), ("price", "/c")], {"pricing": "/a", "docs": "/b"}),
+    ([("our plans", ""), ("plans", "#x"), ("plans", "mailto:a@b.co"), ("plans", "/p")], {"pricing": "/p"}),
+    ([("plans", "https://other.example/pricing"), ("x", "https://s.example/Developer")], {"docs": "/Developer"}),
+    ([("talk to us", "/x"), ("contact", "/contact")], {"contact": "/x"}),
+    ([("", "/plans-contact"), ("", "/docs/pricing")], {"pricing": "/plans-contact", "docs": "/docs/pricing"}),
+    ([("about", "/about")], {}),
+]
+
+
+def test_links_choose_pages(spark):
+    html = ["<body>" + "".join(f'<a href="{h}">{t}</a>' for t, h in page) + "</body>" for page, _ in LINKS]
     df = spark.createDataFrame([(i, "https://s.example", h) for i, h in enumerate(html)], "i int, url string, html string")
     out = links.with_subpage_links(with_signals(df), base_url(F.col("url"))).orderBy("i").collect()
-    for p, r in zip(pages, out):
-        assert {l.page_type: l.page_url for l in r.links} == greedy(p, "https://s.example")
+    for (_, want), row in zip(LINKS, out):
+        assert {l.page_type: l.page_url.removeprefix("https://s.example") for l in row.links} == want
 
 
 def test_subpages_come_from_served_pages_only(spark):
@@ -171,4 +164,20 @@ def test_rank_sites_equals_window_rank(spark):
 def test_report_skips_empty_sections(spark):
     nested = reports.nest_results(audit.audit(table(spark, [row(1, "/", body=PAGE)])))
     text = reports.report_text(nested, "2024-02-03").first().report
-    assert "Date:  2024-02-03" in text and "SUB-PAGE" not in text and "1. " in text
+    assert "as of 2024-02-03" in text and "## Further pages" not in text and "\n1. " in text
+
+
+def test_no_scan_is_lost(spark):
+    rows = [row(1, "/", body=PAGE), row(2, "/robots.txt", body="x"), row(3, "/.well-known/mcp.json", 404)]
+    df = table(spark, rows)
+    for checks in (audit.BUILTIN, ()):
+        errors = audit.scan_errors(audit.assemble(df, checks, links=False)).orderBy("scan_id").collect()
+        assert [(r.scan_id, r.url, r.error) for r in errors] == [
+            (2, "https://s2.example/", "homepage not fetched"), (3, "https://s3.example/", "homepage not fetched")]
+
+
+def test_subpages_linked_with_another_scheme(spark):
+    body = '<body><a href="http://s1.example/pricing">Pricing</a><a href="HTTPS://s1.example/contact">Contact</a></body>'
+    df = table(spark, [row(1, "/", body=body), row(1, "/pricing", body="<p>$5</p>"), row(1, "/contact", body="<p>a@x.org</p>")])
+    out = subpages.audit_subpages(audit.audit(df, links=True), df).orderBy("pos", "ord").collect()
+    assert {r.page_url for r in out} == {"http://s1.example/pricing", "https://s1.example/contact"}

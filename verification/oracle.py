@@ -255,8 +255,8 @@ SELECT scan_id, path, 'pricing_parsability',
 UNION ALL
 SELECT scan_id, path, 'contact_parsability',
   CASE WHEN len(emails) + len(phones) > 0 THEN 'found' ELSE 'none' END,
-  array_to_string(list_filter([CASE WHEN len(emails) > 0 THEN len(emails) || ' e-mail address(es)' END,
-    CASE WHEN len(phones) > 0 THEN len(phones) || ' phone number(s)' END], lambda x: x IS NOT NULL), ', '), {no}, {no} FROM {source}"""
+  array_to_string(list_filter([CASE WHEN len(emails) > 0 THEN len(emails) || ' readable mail contacts' END,
+    CASE WHEN len(phones) > 0 THEN len(phones) || ' readable phone contacts' END], lambda x: x IS NOT NULL), ', '), {no}, {no} FROM {source}"""
 
 
 # --- robots, probes -------------------------------------------------------------------------

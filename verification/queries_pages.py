@@ -21,6 +21,12 @@ from verification import oracle as o
 from verification.base import query
 
 
+def fetched(d):
+    """Homepages whose fetch gave no error."""
+    answered = d.of_path("/").filter("error IS NULL").select("scan_id")
+    return d.homes.join(answered, "scan_id", "left_semi")
+
+
 def joined(col):
     return F.array_join(col, "|")
 
@@ -228,8 +234,7 @@ def _(d):
 @query("sig_anchors", """
 SELECT scan_id, pos, text, href FROM anchor_rows WHERE scan_id IN (SELECT scan_id FROM res WHERE path = '/' AND error IS NULL)""")
 def _(d):
-    fetched = d.homes.filter(F.col("scan_id") % 25 != 23)
-    return H.with_signals(fetched).select("scan_id", F.inline("anchors"))
+    return H.with_signals(fetched(d)).select("scan_id", F.inline("anchors"))
 
 
 @query("sig_html_lower", "SELECT scan_id, sha256(lower(html)) AS html_lower_sha FROM enriched_docs")
@@ -455,8 +460,7 @@ def _(d):
 
 def links(d):
     """Fetched homepages with anchors and site root."""
-    fetched = d.homes.filter(F.col("scan_id") % 25 != 23)
-    return H.with_signals(fetched).select("scan_id", "anchors", urls.base_url(F.col("url")).alias("base"))
+    return H.with_signals(fetched(d)).select("scan_id", "anchors", urls.base_url(F.col("url")).alias("base"))
 
 
 @query("same_site_links", "SELECT scan_id, pos, abs_url FROM site_links WHERE same_site")

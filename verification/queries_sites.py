@@ -302,22 +302,20 @@ def _(d):
 # --- reports --------------------------------------------------------------------------------
 
 _LINE = "chr(10)"
-_TAG = "CASE status WHEN 'pass' THEN 'PASS' WHEN 'warning' THEN 'WARN' ELSE 'FAIL' END"
 _REPORT = f"""
 SELECT s.scan_id, 'audit_' || replace(replace(replace(s.url, 'https://', ''), 'http://', ''), '/', '_') || '.txt' AS file_name,
-  '{reports.TITLE}' || {_LINE} || 'URL:   ' || s.url || {_LINE} || 'Score: ' || score || '/100  --  ' || band || {_LINE}
-  || 'Date:  {AS_OF}' || {_LINE} || {_LINE} || 'CHECK RESULTS' || {_LINE} || repeat('-', 52) || {_LINE} || c.txt
-  || coalesce({_LINE} || {_LINE} || {_LINE} || 'PRIORITISED FIX LIST' || {_LINE} || repeat('-', 52) || {_LINE} || f.txt, '')
-  || coalesce({_LINE} || {_LINE} || {_LINE} || 'SUB-PAGE ANALYSIS' || {_LINE} || repeat('-', 52) || {_LINE} || p.txt, '')
-  || {_LINE} || {_LINE} || repeat('-', 52) || {_LINE} || '{reports.FOOTER}' AS report
+  '# Audit of ' || s.url || {_LINE} || 'Score ' || score || ' of 100 (' || band || '), as of {AS_OF}' || {_LINE}
+  || {_LINE} || '## Checks' || {_LINE} || c.txt
+  || coalesce({_LINE} || {_LINE} || '## Fixes by gain' || {_LINE} || f.txt, '')
+  || coalesce({_LINE} || {_LINE} || '## Further pages' || {_LINE} || p.txt, '') AS report
 FROM scores s
-JOIN (SELECT scan_id, string_agg('[' || {_TAG} || '] ' || label || ' -- ' || points_earned || '/' || points_max || ' pts' || {_LINE}
-    || '  Finding: ' || detail || CASE WHEN status <> 'pass' THEN {_LINE} || '  Fix:     ' || action ELSE '' END, {_LINE} ORDER BY check_idx) AS txt
+JOIN (SELECT scan_id, string_agg('- ' || label || ': ' || status || ', ' || points_earned || ' of ' || points_max || ' points' || {_LINE}
+    || '  ' || detail || CASE WHEN status <> 'pass' THEN {_LINE} || '  To do: ' || action ELSE '' END, {_LINE} ORDER BY check_idx) AS txt
   FROM results GROUP BY scan_id) c USING (scan_id)
-LEFT JOIN (SELECT scan_id, string_agg(rank || '. ' || label || '  (+' || points_lost || ' pts)  |  ' || effort_level || ' - ' || effort_time
+LEFT JOIN (SELECT scan_id, string_agg(rank || '. ' || label || ' gains ' || points_lost || ' points; effort ' || effort_level || ', ' || effort_time
     || {_LINE} || '   ' || action, {_LINE} ORDER BY rank) AS txt FROM recs GROUP BY scan_id) f USING (scan_id)
-LEFT JOIN (SELECT scan_id, string_agg('[' || upper(page_type) || '] ' || page_url || {_LINE} || lines, {_LINE} ORDER BY pos) AS txt
-  FROM (SELECT scan_id, pos, page_type, page_url, string_agg('  [' || {_TAG} || '] ' || key || ': ' || detail, {_LINE} ORDER BY ord) AS lines
+LEFT JOIN (SELECT scan_id, string_agg('### ' || page_type || ': ' || page_url || {_LINE} || lines, {_LINE} ORDER BY pos) AS txt
+  FROM (SELECT scan_id, pos, page_type, page_url, string_agg('- ' || key || ': ' || status || '; ' || detail, {_LINE} ORDER BY ord) AS lines
         FROM subs GROUP BY scan_id, pos, page_type, page_url) GROUP BY scan_id) p USING (scan_id)"""
 
 

@@ -13,6 +13,15 @@ from crawlgauge.streaming import audit_stream as st
 from verification.base import query
 
 
+# Files of a step; a batch reads one step, in parallel.
+FILES = 8
+
+
+def beats_of(frame: DataFrame) -> DataFrame:
+    """A heartbeat row in every file of its step."""
+    return frame.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(FILES)))).drop("_copy")
+
+
 def staged(d, frames: list[DataFrame], heartbeats: bool = False) -> DataFrame:
     """Each frame as one arriving file set, in order; heartbeats at the end close all windows.
 
@@ -32,10 +41,10 @@ def staged(d, frames: list[DataFrame], heartbeats: bool = False) -> DataFrame:
         for n in range(2)
     ]
     columns = beats[0].columns
-    for n, frame in enumerate([*frames, *(beats if heartbeats else [])]):
-        # One directory per step: a glob reads them as one source, oldest file first.
-        frame.select(*columns).coalesce(1).write.parquet(f"{path}/step={n}")
-    return resource_stream(d.spark, f"{path}/step=*", 1)
+    for n, frame in enumerate([*frames, *(map(beats_of, beats) if heartbeats else [])]):
+        # One directory per step: a glob reads them as one source, oldest files first.
+        frame.select(*columns).repartition(FILES).write.parquet(f"{path}/step={n}")
+    return resource_stream(d.spark, f"{path}/step=*", FILES)
 
 
 def drained(d, stream: DataFrame, name: str):
@@ -123,7 +132,7 @@ def _(d):
     moved = late.withColumn("scan_id", F.col("scan_id") + 1_000_000_000)
     on_time = d.resources.filter(F.col("path") == "/")
     beat = on_time.limit(1).withColumn("fetched_at", F.timestamp_micros(F.lit(4102444800000000)))
-    beats = [beat.withColumn("scan_id", F.lit(-n).cast("bigint")) for n in (2, 3)]
+    beats = [beats_of(beat.withColumn("scan_id", F.lit(-n).cast("bigint"))) for n in (2, 3)]
     out, running = drained(d, st.completed_sites(staged(d, [on_time, *beats, moved])), "sites")
     dropped = sum(
         op["numRowsDroppedByWatermark"] for p in running.recentProgress for op in p["stateOperators"]

@@ -144,8 +144,11 @@ def tokens_of(tokens: np.ndarray, num: int = NUM, den: int = DEN) -> np.ndarray:
 
 
 def sketch_bits(n: int, num: int = NUM, den: int = DEN) -> int:
-    """Bits of a parity sketch: four for each shingle that may differ, a power of two."""
-    return max(64, 1 << (4 * allowed(2 * n, num, den)).bit_length())
+    """Bits of a parity sketch: sixteen or more for each shingle that may differ, a power of two.
+
+    So few differing shingles then fall on one bit that hardly a pair beyond the threshold stays within the bound.
+    """
+    return max(64, 1 << (16 * allowed(2 * n, num, den)).bit_length())
 
 
 def sketch_of(tokens: np.ndarray, num: int = NUM, den: int = DEN) -> bytes:

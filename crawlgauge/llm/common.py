@@ -14,8 +14,8 @@ from crawlgauge.plans.session import materialize, scratch_path
 __all__ = ["materialize", "scratch_path", "table", "arrow_batches", "per_batch", "word_codes", "words_of"]
 
 # Rows and bytes a Python task holds at a time; results do not depend on them.
-BATCH_ROWS = 1000
-BATCH_BYTES = 16 << 20
+BATCH_ROWS = 250
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -200,9 +200,12 @@ def _members(num: int, den: int, size: int):
 
 def _class_tokens(num: int, den: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Copies in one task give their tokens once, so a large group of copies shrinks before the shuffle.
+        seen: set[int] = set()
         for batch in batches:
-            # Copies inside a batch give their tokens once.
             sets = {class_of(s): s for s in shingle_sets(batch.column("text"), size) if len(s)}
+            sets = {c: s for c, s in sets.items() if c not in seen}
+            seen.update(sets)
             tokens = [tokens_of(s, num, den) for s in sets.values()]
             if tokens:
                 owner = np.repeat(np.array(list(sets), np.int64), list(map(len, tokens)))
@@ -379,7 +382,9 @@ def near_duplicates(
 
     # Tokens that at least two classes share, with the smallest class of each.
     of_token = Window.partitionBy("token")
-    tokens = docs.mapInArrow(_class_tokens(num, den, size), "token long, cls long").distinct()
+    tokens = docs.mapInArrow(_class_tokens(num, den, size), "token long, cls long")
+    # One exchange by token serves both the copies of other tasks and the window.
+    tokens = tokens.repartition("token").dropDuplicates(["token", "cls"])
     shared = materialize(
         tokens.withColumns({"first": F.min("cls").over(of_token), "last": F.max("cls").over(of_token)})
         .filter("first < last")

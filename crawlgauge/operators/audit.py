@@ -182,10 +182,12 @@ def _site_rows(merged: DataFrame, checks: tuple[Check, ...], extra: list[str]) -
 
 
 def assemble(
-    resources: DataFrame, checks: tuple[Check, ...] = BUILTIN, links: bool = True
+    resources: DataFrame, checks: tuple[Check, ...] = BUILTIN, links: bool = True, failed: bool = True
 ) -> DataFrame:
     """One row per scan: the judged homepage, text-file outcomes and probe codes.
 
+    ``failed`` asks for the scans of which only other resources arrived, and for the site URL of all.
+
     The many probe rows aggregate apart from the few document rows: their state
     is all integers and their scan never touches the body column.
     """
@@ -195,13 +197,15 @@ def assemble(
             text_rows(resources, checks).drop("path"), allowMissingColumns=True
         )
     by_scan = documents.groupBy("scan_id").agg(*home_aggs(), *text_aggs(checks))
-    # A scan of which any resource arrived is a scan: two narrow columns of all rows.
-    scans = resources.groupBy("scan_id").agg(F.max("site_url").alias("site_url"))
-    sites = scans.join(by_scan, "scan_id", "left")
-    if not of_stage(checks, SITE):
-        return _site_rows(sites, checks, ["site_url"])
-    probes = probe_rows(resources).groupBy("scan_id").agg(*probe_aggs())
-    return _site_rows(sites.join(probes, "scan_id", "left"), checks, ["site_url"])
+    sites, extra = by_scan, []
+    if failed:
+        # A scan of which any resource arrived is a scan: two narrow columns of all rows.
+        scans = resources.groupBy("scan_id").agg(F.max("site_url").alias("site_url"))
+        sites, extra = scans.join(by_scan, "scan_id", "left"), ["site_url"]
+    if of_stage(checks, SITE):
+        probes = probe_rows(resources).groupBy("scan_id").agg(*probe_aggs())
+        sites = sites.join(probes, "scan_id", "left")
+    return _site_rows(sites, checks, extra)
 
 
 def fold_events(events: DataFrame, keys: list, checks: tuple[Check, ...] = BUILTIN) -> DataFrame:
@@ -346,4 +350,4 @@ def audit(
     resources: DataFrame, checks: tuple[Check, ...] = BUILTIN, links: bool = False
 ) -> DataFrame:
     """Resources to audited sites; ``links`` keeps what sub-page audits need."""
-    return with_checks(assemble(resources, checks, links), checks)
+    return with_checks(assemble(resources, checks, links, failed=False), checks)

@@ -28,7 +28,7 @@ LEFT JOIN gated_found g USING (scan_id) JOIN outcomes oc ON oc.scan_id = h.scan_
 def _(d):
     from crawlgauge.functions.outcomes import API_PATHS, KEY_PATHS, MCP_PATHS, named_hits
 
-    sites = audit.scannable_sites(audit.assemble(d.resources, links=False))
+    sites = audit.scannable_sites(audit.assemble(d.resources, links=False, failed=False))
     return sites.select(
         "scan_id",
         F.col("home")["text_len_all"].cast("bigint").alias("text_len"),
@@ -46,7 +46,7 @@ def _(d):
 
 @query("scannable_sites", "SELECT scan_id, url FROM ok_home")
 def _(d):
-    sites = audit.scannable_sites(audit.assemble(d.resources, (), links=False))
+    sites = audit.scannable_sites(audit.assemble(d.resources, (), links=False, failed=False))
     return sites.select("scan_id", F.col("home")["url"].alias("url"))
 
 

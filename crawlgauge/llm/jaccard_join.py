@@ -443,7 +443,6 @@ def near_duplicates(
             across.unionByName(within)
             .join(columns.select("g", F.col("members").alias("left")), "g")
             .join(columns.select(F.col("g").alias("h"), F.col("members").alias("right")), "h")
-            .repartition("g", "h")
         )
         candidates = materialize(
             opened.mapInArrow(_open_groups(num, den, nearest_only), "a long, b long").distinct(), "candidates"

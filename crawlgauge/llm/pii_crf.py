@@ -1,9 +1,10 @@
 """Personal data and credentials: fixed patterns, and a linear-chain CRF that adds what they miss.
 
 The CRF reads word-shape features of pieces (runs of letters, digits and inner punctuation, or single other
-characters) and is trained here from the small labelled table below. A word without a digit, '@' or '=' is always
-outside; such words cut a text into short runs of pieces, and Viterbi decodes all runs of an Arrow batch together in
-numpy. Pattern spans always stay; a CRF span that touches one is dropped.
+characters) and is trained here from the small labelled table below. It scores every word that holds a digit, '@' or
+'=', every word with a long run of ASCII letters, and every word that names a credential or closely follows one that
+does. The table has no span in other words: they are outside and cut a text into short runs of pieces, and Viterbi
+decodes all runs of an Arrow batch together in numpy. Pattern spans always stay; a CRF span that touches one is dropped.
 
 Offsets count code points, ends are exclusive. Defined cases: null and empty texts have no spans; a text that is one
 long run is decoded whole; equal texts have equal spans; equal scores take the first label; columns are never read by
@@ -98,11 +99,20 @@ _TRIM = ".-/+"
 _HEX = re.compile(r"[0-9a-f]+\Z")
 # Words before a value that name a credential.
 CUES = frozenset("token password passwd pwd secret key apikey api_key auth bearer credential".split())
+# Words after a cue that are scored as well: a value may follow "is" and a sign.
+AFTER_CUE = 3
+_CUE_PARTS = [c for c in sorted(CUES) if not any(d != c and d in c for d in CUES)]
+_CUE = re.compile(rf"(?<![a-z0-9])(?:{'|'.join(sorted(CUES, key=len, reverse=True))})(?![a-z0-9_])", re.I | re.A)
+# Letters as long as the shortest secret without a cue; inner signs are those of base64.
+_LONG = re.compile(r"(?<![\w+/-])[A-Za-z][A-Za-z+/_-]{13}")
+_VISIBLE = re.compile(r"\S")
+_HUMP = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_CONSONANTS = re.compile(r"[^aeiouyAEIOUY\W\d_]+")
 
 
 @dataclass(frozen=True)
 class Run:
-    """Consecutive marked words of one text: pieces as (start, end), and their features."""
+    """Consecutive scored words of one text: pieces as (start, end), and their features."""
 
     pieces: list[tuple[int, int]]
     features: list[list[str]]
@@ -136,26 +146,73 @@ def _describe(piece: str) -> list[str]:
         marks += ["mixed"] * bool(re.fullmatch(r"[\w-]*[a-z][\w-]*", core) and re.search(r"[A-Z]", core))
     if 14 <= len(digits) <= 19 and len(digits) == len(core):
         marks.append(f"luhn={luhn(digits)}")
+    if len(core) >= 8 and not digits and core.isascii() and re.fullmatch(r"[A-Za-z][A-Za-z+/_-]+", core):
+        marks += _letters(core)
     parts = core.split(".")
     if len(parts) == 4 and all(p.isascii() and p.isdigit() for p in parts):
         marks.append(f"octets={all(map(_octet, parts))}")
     return marks if len(piece) > 1 or digits else [f"char={piece}"]
 
 
+def _letters(core: str) -> list[str]:
+    """What tells random letters from words: case, how short its humps are, how it is pronounced."""
+    case = "lower" if core.islower() else "upper" if core.isupper() else "title" if core[1:].islower() else "cases"
+    humps = [len(m.group()) for m in _HUMP.finditer(core)]
+    hard = max((len(m.group()) for m in _CONSONANTS.finditer(core)), default=0)
+    short = sum(n <= 2 for n in humps)
+    marks = [f"{case}", f"{case}&length={_bucket(len(core))}", f"{case}&hard={min(hard, 7)}"]
+    if case == "cases":
+        marks += [f"short={min(short, 5)}", f"humps={10 * len(humps) // len(core)}"]
+    return [f"letters={m}" for m in marks]
+
+
+def _word_end(text: str, at: int) -> int:
+    space = _SPACE.search(text, at)
+    return space.start() if space else len(text)
+
+
+def _cue_words(text: str) -> list[int]:
+    """Places in the words that hold a cue and in the next words after them; no word is read more than a few times."""
+    lower = text.lower()
+    if not any(c in lower for c in _CUE_PARTS):
+        return []
+    out, end = set(), 0
+    while cue := _CUE.search(text, end):
+        out.add(cue.start())
+        end = at = _word_end(text, cue.end())
+        for _ in range(AFTER_CUE):
+            if not (word := _VISIBLE.search(text, at)):
+                break
+            out.add(word.start())
+            at = _word_end(text, word.start())
+    return sorted(out)
+
+
 def _marked_words(text: str) -> Iterator[tuple[int, int]]:
-    """Words with a digit, '@' or '=', each found from its first such character: linear in the text."""
+    """Words that can hold a span, each found from one place in it: linear in the text."""
     end = 0
-    while mark := _MARK.search(text, end):
-        start = mark.start()
+    places = sorted([*_cue_words(text), *(m.start() for m in _LONG.finditer(text))], reverse=True)
+    mark = _MARK.search(text)
+    while mark or places:
+        at = min(([mark.start()] if mark else []) + places[-1:])
+        start = at
         while start > end and not text[start - 1].isspace():
             start -= 1
-        space = _SPACE.search(text, mark.end())
-        end = space.start() if space else len(text)
+        end = _word_end(text, at)
         yield start, end
+        if mark and mark.start() < end:
+            mark = _MARK.search(text, end)
+        while places and places[-1] < end:
+            places.pop()
+
+
+def _is_cue(piece: str) -> bool:
+    lower = piece.lower()
+    return lower in CUES or re.split(r"[-_./+]", lower)[-1] in CUES
 
 
 def runs_of(text: str) -> list[Run]:
-    """Runs of consecutive marked words with the features of their pieces."""
+    """Runs of consecutive scored words with the features of their pieces."""
     out: list[Run] = []
     pieces: list[tuple[int, int]] = []
     last = -1
@@ -174,17 +231,22 @@ def _featured(text: str, pieces: list[tuple[int, int]]) -> Run:
     first = pieces[0][0]
     before = _BEFORE.search(text, max(0, first - 40), first)
     # What stands before the run, then the run itself.
-    words = ["cue" if before and before.group(1).lower() in CUES else "word"]
+    words = ["cue" if before and _is_cue(before.group(1)) else "word"]
     own = [text[a:b] for a, b in pieces]
     described = [_describe(p) for p in own]
+    cues = [_is_cue(p) for p in own]
     features = []
     for i, marks in enumerate(described):
         last = own[i - 1].lower() if i else words[0]
-        near = "cue" if last in CUES else last if len(last) == 1 else ("start" if i == 0 else "other")
-        cue = any(p.lower() in CUES for p in own[max(0, i - 4) : i]) or (i <= 3 and words[0] == "cue")
+        near = "cue" if last == "cue" or (i and cues[i - 1]) else last if len(last) == 1 else ("start" if i == 0 else "other")
+        cue = any(cues[max(0, i - 4) : i]) or (i <= 3 and words[0] == "cue")
         after = own[i + 1] if i + 1 < len(own) else "end"
         row = [*marks, f"before={near}", f"after={after if len(after) == 1 else 'piece'}", f"cue={cue}"]
-        row += [f"cue={cue}&{m}" for m in marks if m.startswith(("hex", "upper", "mixed", "length", "shape=long"))]
+        row += [f"cue={cue}&{m}" for m in marks if m.startswith(("hex", "upper", "mixed", "length", "shape=long", "letters"))]
+        # Words between the cue and the value.
+        back = next((j for j in range(i - 1, max(-1, i - 5), -1) if cues[j]), None)
+        gap = "none" if back is None else min(2, sum(len(p) > 1 for p in own[back + 1 : i]))
+        row += [f"gap={gap}&before={near}&{m}" for m in marks if m.startswith("letters")]
         features.append(row)
     return Run(pieces, features)
 
@@ -192,7 +254,7 @@ def _featured(text: str, pieces: list[tuple[int, int]]) -> Run:
 # --- the labelled table -----------------------------------------------------------------------
 
 
-def labelled_table(rows: int = 1200, seed: int = 11) -> list[tuple[str, list[Span]]]:
+def labelled_table(rows: int = 2000, seed: int = 11) -> list[tuple[str, list[Span]]]:
     """Short texts with known spans, made from a few forms per kind and look-alikes that are none."""
     rng = random.Random(seed)
     lower, digits, hexes = string.ascii_lowercase, string.digits, "0123456789abcdef"
@@ -215,6 +277,23 @@ def labelled_table(rows: int = 1200, seed: int = 11) -> list[tuple[str, list[Spa
     def dotted(top: int) -> str:
         return ".".join(str(rng.randint(0, top)) for _ in range(4))
 
+    def phrase(least: int, most: int) -> str:
+        """Pronounceable letters, as of words or joined words."""
+        size, out = rng.randint(least, most), ""
+        while len(out) < size:
+            out += rng.choice(("", *"bcdfghjklmnprstvw", "st", "tr", "ch", "pl")) + rng.choice("aeiou") + rng.choice("  nrstl").strip()
+        return out[:size]
+
+    def humps() -> str:
+        parts = [phrase(3, 9).title() for _ in range(rng.randint(2, 5))]
+        return "".join([rng.choice((parts[0], parts[0].lower())), *parts[1:]])
+
+    def jagged() -> str:
+        size = rng.randint(16, 40)
+        pick = rng.choice(("any", "turns"))
+        out = some(string.ascii_letters, size) if pick == "any" else some(lower, size)
+        return out if pick == "any" else "".join(c.upper() if i % 2 == 0 else c for i, c in enumerate(out))
+
     n = lambda a, b: str(rng.randint(a, b))
     forms = {
         "email": [lambda: f"{word()}.{n(1, 99)}@{word()}{n(1, 9)}.{word()}.com", lambda: f"{word()}@{word()}.org"],
@@ -232,6 +311,11 @@ def labelled_table(rows: int = 1200, seed: int = 11) -> list[tuple[str, list[Spa
             lambda: some(base62, rng.randint(20, 44)),
         ],
     }
+    # Secrets of letters only: joined words need a cue, and a sign or quotes to be told from prose.
+    joined = ["password: %s", "secret: %s", "token: %s", 'token = "%s"', "password=%s", "pwd = %s"]
+    joined += ['"password": "%s"', "passwd : %s", "client_secret: %s", "credential: %s", "key=%s", "auth: '%s'"]
+    random_letters = ["%s", "%s", "token %s", "key %s", "bearer %s", "the secret is %s", *joined]
+    prose = "key token secret password auth bearer Key Token".split()
     framed = {
         "secret": [
             'token = "%s"', "password=%s", "secret: %s", 'api_key="%s"', "%s", "key %s", "pwd = %s", "auth=%s", "%s",
@@ -245,6 +329,15 @@ def labelled_table(rows: int = 1200, seed: int = 11) -> list[tuple[str, list[Spa
         lambda: f"{n(1, 999)},{n(100, 999)}", lambda: f"{n(256, 999)}.{n(256, 999)}.{n(1, 9)}.{n(1, 9)}",
         lambda: f"{n(1, 99)}) {word()}", lambda: f"{word()}=={word()}", lambda: f"{n(1, 9)}.{n(1, 9)}.{n(1, 20)}",
         lambda: f"Version {n(1, 9)}.0, {word()}", lambda: f"{word().upper()}-{n(1, 9)}.0.", lambda: n(0, 99999999),
+        lambda: humps(), lambda: humps(), lambda: phrase(14, 22), lambda: phrase(14, 18).upper(), lambda: phrase(14, 18).title(),
+        lambda: f"{phrase(4, 9)}-{phrase(2, 4)}-{phrase(4, 9)}", lambda: f"{phrase(4, 9)}/{phrase(4, 9)}/{phrase(3, 9)}",
+        lambda: f"https://{phrase(5, 12)}.com/{phrase(4, 9)}/{phrase(4, 9)}/{phrase(3, 9)}", lambda: f"www.{phrase(14, 20)}.org",
+        lambda: f"({phrase(3, 9)}.{phrase(2, 3)}/{phrase(4, 9)}/{phrase(4, 9)}_{phrase(3, 9)})", lambda: f"http://{phrase(14, 20)}.net",
+        lambda: f"{rng.choice(prose)} {phrase(4, 10)}: {phrase(4, 19)}", lambda: f"{phrase(14, 18)}/{phrase(3, 9)}.{word()}",
+        lambda: f"{phrase(4, 9)}_{phrase(4, 9)}_{phrase(3, 9)}", lambda: f"{rng.choice(prose)} {phrase(2, 17)} {phrase(2, 14)}",
+        lambda: f"{rng.choice(prose)}: {phrase(2, 11)} {word()}", lambda: f"{rng.choice(prose)} {humps()}",
+        lambda: f"the {rng.choice(prose)} is {phrase(2, 15)}, {word()}", lambda: f"{rng.choice(prose)} {word()}: {phrase(2, 11)}",
+        lambda: f"{rng.choice(prose)} of {phrase(2, 15)} {word()} {word()}", lambda: f"{rng.choice(prose)}. {phrase(2, 14).title()} {word()}",
         lambda: f"===== {word()} =====", lambda: f"{word()} @ {n(1, 99)}", lambda: f"{n(1, 99)}x{n(1, 99)}",
     ]
     ends = ["", "", "", ".", ",", "***", "%%%", ")", ";"]
@@ -256,6 +349,10 @@ def labelled_table(rows: int = 1200, seed: int = 11) -> list[tuple[str, list[Spa
             frame, value = "%s", rng.choice(others)()
         else:
             frame, value = rng.choice(framed.get(kind, ["%s", "%s", "(%s)", "<%s>"])), rng.choice(forms[kind])()
+            if kind == "secret" and rng.random() < 0.4:
+                letters = rng.choice(("jagged", "joined"))
+                frame = rng.choice(random_letters if letters == "jagged" else joined)
+                value = jagged() if letters == "jagged" else phrase(16, 30)
         text = f"{lead} " if lead else ""
         start = len(text) + frame.index("%s")
         text += frame.replace("%s", value) + rng.choice(ends) + " " + word()

@@ -163,6 +163,27 @@ def test_crf_on_held_out_rows():
         pii_crf.all_spans([text], model)
 
 
+def test_secrets_of_letters_only():
+    model = pii_crf.default_model()
+    held = {
+        "password: correcthorsebattery": "correcthorsebattery",
+        "token QwErTyUiOpAsDfGhJkLz": "QwErTyUiOpAsDfGhJkLz",
+        "so the secret: hGqLwZkTbNvRxYpMdSfJ ok": "hGqLwZkTbNvRxYpMdSfJ",
+        '{"token":"QwErTyUiOpAsDfGhJkLz"}': "QwErTyUiOpAsDfGhJkLz",
+        "see kTbNvRxYpMdSfJhGqLwZ there": "kTbNvRxYpMdSfJhGqLwZ",
+    }
+    for text, value in held.items():
+        assert [(k, text[a:b]) for k, a, b, _ in pii_crf.all_spans([text], model)[0]] == [("secret", value)], text
+    others = [
+        "the key characteristics of administration", "key findings: responsibilities", "Key: value. The token is short",
+        "getUserAccountNameById(x) AbstractSingletonProxyFactoryBean", "https://example.com/some/path/thing",
+        "state-of-the-art internationalization ____________________", "The password is required. Token authentication",
+    ]
+    assert pii_crf.all_spans(others, model) == [[]] * len(others)
+    for text in ("key: " * 20_000, "key:" * 20_000, "Aa" * 100_000, "key " + "x" * 200_000):
+        pii_crf.all_spans([text], model)
+
+
 def test_pii_columns(spark):
     text = 'mail é.b@c.org, 10.0.0.1 and token = "0123456789abcdef0123456789abcdef01234567" end'
     rows = [*ODD, (20, text)]

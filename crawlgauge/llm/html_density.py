@@ -2,7 +2,8 @@
 
 Each page becomes a small tree of elements. What is never article text is left out first: scripts, forms, navigation,
 page headers and footers, elements whose class, id or role name menus, adverts, notices, sidebars or comments, and,
-outside articles, lists of links. Every remaining element gets a density: its characters per tag, lowered by how much of them is linked. The element
+outside articles, lists of links. Names of a layout (with-sidebar) do not count, and a class or id never takes most of
+the page's unlinked characters: see _named. Every remaining element gets a density: its characters per tag, lowered by how much of them is linked. The element
 whose children have the largest sum of densities is the core of the article. The least density on the path from the
 body to the core is the threshold for growing it: while the elements beside it reach the threshold, or it lies in an
 article or main element, its parent is taken instead. All blocks of the chosen subtree are kept, whatever their length.
@@ -44,6 +45,9 @@ _AROUND = frozenset(
 )
 _COMMENT_WORDS = frozenset("comment comments reply replies respond ad ads advert advertisement promo sponsored".split())
 _HEADER_WORDS = frozenset("header head top".split())
+# Words by which a name says what a layout has or allows, and words for a box around something.
+_LAYOUT_WORDS = frozenset("with without has have no enabled disabled open closed free layout columns supports".split())
+_BOX_WORDS = frozenset("wrap wrapper wrapping container inner outer area list box block section holder site page".split())
 
 # What an opening tag closes, and what stops the search for it.
 _CLOSES = {
@@ -128,8 +132,10 @@ def parse(html: str) -> Node:
     return builder.root
 
 
-def _names(node: Node) -> set[str]:
-    return {w.lower() for w in _WORDS.findall(f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}")}
+def _names(node: Node) -> list[frozenset[str]]:
+    """The words of every class and of the id."""
+    found = f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}".split()
+    return [frozenset(w.lower() for w in _WORDS.findall(name)) for name in found]
 
 
 def _contains(node: Node, tags: tuple[str, ...]) -> bool:
@@ -150,16 +156,39 @@ def _surrounds(node: Node, in_article: bool) -> bool:
         return not _contains(node, ("article", "main"))
     if node.attrs.get("role", "").lower() in _ROLES:
         return not _contains(node, ("article", "main"))
-    names = _names(node) if node.attrs else set()
-    if not names or node.tag == "main":
-        return False
-    if node.tag == "article":
-        return bool(names & _COMMENT_WORDS)
-    if names & _AROUND or (not in_article and names <= _HEADER_WORDS | {"site", "page"} and names & _HEADER_WORDS):
-        return not _contains(node, ("article", "main"))
     return False
 
 
+# How sure a name is: none, a word of a longer name, a whole name, a whole name of comments or adverts.
+_UNNAMED, _PARTLY, _WHOLLY, _COMMENTS = range(4)
+
+
+def _holders(root: Node, tags: frozenset[str]) -> set[Node]:
+    """Elements that hold one of the given tags."""
+    out: set[Node] = set()
+    for node in _post_order(root):
+        if any(c.tag in tags or c in out for c in node.elements()):
+            out.add(node)
+    return out
+
+
+def _standing(node: Node, in_article: bool, holds_article: bool) -> int:
+    """How surely the class or id of an element names what surrounds articles."""
+    if not node.attrs or node.tag == "main":
+        return _UNNAMED
+    words, out = _COMMENT_WORDS if node.tag == "article" else _AROUND, _UNNAMED
+    names = _names(node)
+    for name in names:
+        rest = name - words - _BOX_WORDS
+        if not name & words or name & _LAYOUT_WORDS or (rest and name & {"wrap", "wrapper", "container"}):
+            continue
+        out = max(out, _PARTLY if rest else _COMMENTS if name <= _COMMENT_WORDS | _BOX_WORDS else _WHOLLY)
+    every = frozenset().union(*names)
+    if not in_article and node.tag != "article" and every <= _HEADER_WORDS | {"site", "page"} and every & _HEADER_WORDS:
+        out = max(out, _WHOLLY)
+    return _UNNAMED if holds_article and node.tag != "article" else out
+
+
 def _prune(root: Node) -> None:
     """Remove the elements that surround articles."""
     todo = [(root, False)]
@@ -167,6 +196,44 @@ def _prune(root: Node) -> None:
         node, inside = todo.pop()
         node.children = [c for c in node.children if isinstance(c, str) or not _surrounds(c, inside)]
         todo += [(c, inside or c.tag in ("article", "main")) for c in node.elements()]
+    named = _named(root)
+    for node in _post_order(root) if named else ():
+        node.children = [c for c in node.children if isinstance(c, str) or c not in named]
+
+
+def _named(root: Node) -> set[Node]:
+    """Elements to remove by their names.
+
+    No element that holds more than half of the page's unlinked characters is removed, those of comments aside. If
+    names that hold such a word among others would take more than half together, none of them counts.
+    """
+    holders = _holders(root, frozenset(["article", "main"]))
+    standing, todo = {}, [(root, False)]
+    while todo:
+        node, inside = todo.pop()
+        if node is not root and (found := _standing(node, inside, node in holders)):
+            standing[node] = found
+        todo += [(c, inside or c.tag in ("article", "main")) for c in node.elements()]
+    if not standing:
+        return set()
+    free: dict[Node, int] = {}  # unlinked characters outside comments
+    for node in _post_order(root):
+        own = sum(len(_SPACE.sub(" ", c).strip(" ")) if isinstance(c, str) else free[c] for c in node.children)
+        free[node] = 0 if node.tag == "a" or standing.get(node) == _COMMENTS else own
+    most = {n for n in standing if standing[n] != _COMMENTS and 2 * free[n] > free[root]}
+    if not free[root]:
+        # Beside comments there are only links.
+        return {n for n in standing if standing[n] != _COMMENTS}
+    taken, todo = 0, [root]
+    while todo:
+        node = todo.pop()
+        if standing.get(node) == _PARTLY:
+            taken += free[node]
+        elif standing.get(node, _UNNAMED) == _UNNAMED or node in most:
+            todo += node.elements()
+    if 2 * taken > free[root]:
+        most |= {n for n in standing if standing[n] == _PARTLY}
+    return set(standing) - most
 
 
 def _post_order(root: Node) -> list[Node]:

@@ -118,6 +118,28 @@ def test_html_articles():
     assert html_density.main_text(deep) == "deep text"
 
 
+ARTICLE = "<h1>Title</h1><p>" + "First words of the article here. " * 5 + "</p><p>" + "Second part with more words. " * 6 + "</p>"
+SIDE = "<p>" + "Side text. " * 5 + "</p>"
+
+
+def test_html_names_of_a_layout():
+    whole = html_density.main_text(f"<article>{ARTICLE}</article>")
+    pages = [
+        f'<div id="content-sidebar-wrap"><div id="content">{ARTICLE}</div><div class="sidebar">{SIDE}</div></div>',
+        f'<div class="layout with-sidebar"><div>{ARTICLE}</div><div id="sidebar">{SIDE}</div></div>',
+        f'<div class="post share-enabled">{ARTICLE}</div><div class="share">{SIDE}</div>',
+        f'<article><div class="post share-enabled">{ARTICLE}</div><div class="share-buttons">{SIDE}</div></article>',
+        f'<div class="social-page">{ARTICLE}</div>',
+        f'<div class="widget">{ARTICLE}</div>',
+        f'<div id="top">{ARTICLE}</div>',
+        # Names still take what surrounds an article, however long the comments are.
+        f'<div id="content">{ARTICLE}</div><div id="comments">{SIDE * 20}</div>',
+        f'<div id="content">{ARTICLE}</div><div class="post-comments">{SIDE}</div>',
+    ]
+    for page in pages:
+        assert html_density.main_text(page) == whole, page
+
+
 def test_html_on_the_given_pages(spark):
     pages = table(spark, "/root/testdata/sf0.001", "pages")
     for r in pages.select("html", html_density.extract(F.col("html")).alias("text")).collect():

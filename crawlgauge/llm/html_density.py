@@ -5,8 +5,9 @@ page headers and footers, elements whose class, id or role name menus, adverts,
 outside articles, lists of links. Names of a layout (with-sidebar) do not count, and a class or id never takes most of
 the page's unlinked characters: see _named. Every remaining element gets a density: its characters per tag, lowered by how much of them is linked. The element
 whose children have the largest sum of densities is the core of the article. The least density on the path from the
-body to the core is the threshold for growing it: while the elements beside it reach the threshold, or it lies in an
-article or main element, its parent is taken instead. All blocks of the chosen subtree are kept, whatever their length.
+body to the core is the threshold for growing it: its parent is taken instead, again and again, without those parts
+beside it that fail the threshold (_grow). A core in a main element gives the main element, one in an article the article
+and the articles beside it that reach the threshold. All other blocks of the chosen subtree are kept, whatever their length.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are joined by two line
 feeds. Defined cases: null or empty html, and pages without text, give the empty text; html without a body is read as
@@ -45,6 +46,7 @@ _AROUND = frozenset(
 )
 _COMMENT_WORDS = frozenset("comment comments reply replies respond ad ads advert advertisement promo sponsored".split())
 _HEADER_WORDS = frozenset("header head top".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Words by which a name says what a layout has or allows, and words for a box around something.
 _LAYOUT_WORDS = frozenset("with without has have no enabled disabled open closed free layout columns supports".split())
 _BOX_WORDS = frozenset("wrap wrapper wrapping container inner outer area list box block section holder site page".split())
@@ -308,18 +310,76 @@ def select(root: Node) -> Node:
     core = max(nodes, key=lambda n: n.total if n.elements() else n.density)
     path = _path(core)
     threshold = min((n.density for n in path[:-1]), default=core.density)
-    for outer in reversed(path):
-        if outer.tag in ("article", "main"):
-            return outer
-    while core.parent is not None:
-        beside = [c for c in core.parent.elements() if c is not core and c.chars]
-        loose = any(isinstance(c, str) and c.strip() for c in core.parent.children)
-        if not all(_belongs(c, threshold) for c in beside) or (loose and core.parent is not root):
-            break
-        core = core.parent
+    outer = next((n for n in reversed(path) if n.tag in ("article", "main")), None)
+    if outer is not None and outer.tag == "main":
+        return outer
+    return _grow(outer or core, threshold, outer is not None, root.link_chars / max(1, root.chars))
+
+
+def _grow(core: Node, threshold: float, articles: bool, whole: float) -> Node:
+    """The root without the parts beside the path to the core that do not belong to the article.
+
+    Up to the first level with a part that does not belong, all parts stay. From there on a part has to reach the
+    threshold; unlinked parts between two that stay, and headings right before one, stay with them. An article only takes
+    other articles, or elements that hold some.
+    """
+    top = core
+    while top.parent is not None:
+        top = top.parent
+    holders = _holders(top, _BLOCK)
+    strict = articles
+    while (parent := core.parent) is not None:
+        parts = _parts(parent, holders)
+        shapes = [p[0] if len(p) == 1 and isinstance(p[0], Node) else _run(p, whole) for p in parts]
+        loose = any(isinstance(c, str) and c.strip() for c in parent.children) and parent.parent is not None
+        held = [core in p for p in parts]
+        strict = strict or loose or not all(h or not s.chars or _belongs(s, threshold) for h, s in zip(held, shapes, strict=True))
+        if strict:
+            stays = [h or (s.chars > 0 and s.density >= threshold) for h, s in zip(held, shapes, strict=True)]
+            if articles:
+                hold = [h or s.tag == "article" or _contains(s, ("article",)) for h, s in zip(held, shapes, strict=True)]
+                stays = [k and h for k, h in zip(stays, hold, strict=True)]
+            else:
+                first, last = stays.index(True), len(stays) - stays[::-1].index(True)
+                stays = [k or (first < i < last and 2 * shapes[i].link_chars < shapes[i].chars) for i, k in enumerate(stays)]
+                before_one = False
+                for i in range(len(stays) - 1, -1, -1):
+                    heading = shapes[i].tag in _HEADINGS and 2 * shapes[i].link_chars < shapes[i].chars
+                    stays[i] = stays[i] or (heading and before_one)
+                    before_one = stays[i] if shapes[i].chars else before_one
+            parent.children = [c for k, p in zip(stays, parts, strict=True) if k for c in p]
+        core = parent
     return core
 
 
+def _parts(node: Node, holders: set[Node]) -> list[list[Node | str]]:
+    """Children of an element: each block by itself, and runs of texts and inline elements."""
+    out: list[list[Node | str]] = []
+    inline = False
+    for child in node.children:
+        block = isinstance(child, Node) and (child.tag in _BLOCK or child in holders)
+        if block or not inline:
+            out.append([])
+        out[-1].append(child)
+        inline = not block
+    return out
+
+
+def _run(children: list[Node | str], whole: float) -> Node:
+    """A run of texts and measured inline elements as one paragraph."""
+    run = Node("p", {}, None)
+    for child in children:
+        if isinstance(child, str):
+            run.chars += len(_SPACE.sub(" ", child).strip(" "))
+        else:
+            run.chars += child.chars
+            run.tags += child.tags + 1
+            run.link_chars += child.link_chars
+            run.link_tags += child.link_tags
+    run.density = _density(run, whole)
+    return run
+
+
 def _belongs(node: Node, threshold: float) -> bool:
     """Headings, unlinked text and whatever is as dense as the path to the core."""
     return node.density >= threshold or 2 * node.link_chars < node.chars

@@ -140,6 +140,19 @@ def test_html_names_of_a_layout():
         assert html_density.main_text(page) == whole, page
 
 
+def test_html_parts_beside_the_core():
+    one, two, three = (f"<p>{w} words of a part. {w} more of them here.</p>" * n for w, n in (("One", 4), ("Two", 5), ("Third", 3)))
+    texts = {t: html_density.main_text(f"<main>{t}</main>") for t in (one, two, three)}
+    whole = "\n\n".join(texts.values())
+    link = "<p><a href=x>Permalink</a></p>"
+    for tag in ("section", "div", "article"):
+        parts = "".join(f"<{tag}>{t}</{tag}>" for t in (one, two, three))
+        for page in (f"{parts}{link}", f"<div>{parts}{link}</div>", f"<div>{link}<div>{parts}</div></div>{link}"):
+            assert html_density.main_text(page) == whole, page
+    page = f"<div><h2>Head</h2><section>{one}</section><p>Short.</p><section>{two}</section>{link}</div><div>Made in 2020</div>"
+    assert html_density.main_text(page) == f"Head\n\n{texts[one]}\n\nShort.\n\n{texts[two]}"
+
+
 def test_html_on_the_given_pages(spark):
     pages = table(spark, "/root/testdata/sf0.001", "pages")
     for r in pages.select("html", html_density.extract(F.col("html")).alias("text")).collect():

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from crawlgauge.llm.common import materialize, word_codes
 
-ORDER = 2
+ORDER = 3
 # Weight of the shorter context, in tokens.
 MASS = 300.0
 # Bytes of text in a block and in a slice of the hash range, on average.

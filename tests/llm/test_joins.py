@@ -25,6 +25,13 @@ def test_lm_equals_a_plain_model(spark):
     assert lm.score_documents(odd_frame(spark, [])).count() == 0
 
 
+def test_scores_use_two_words_of_context(spark):
+    rows = [(i, t) for i, t in enumerate(["a b c", "x b d", "a b c", "x b d", "x b c"] * 6)]
+    got = {r.doc_id: r.score for r in lm.score_documents(odd_frame(spark, rows)).collect()}
+    want = lm_scores(rows, 3, lm.MASS)
+    assert all(abs(got[i] - s[-1]) < 1e-6 for (i, _), s in zip(rows, want, strict=True))
+
+
 def test_hashes_pack_and_unpack():
     import numpy as np
 

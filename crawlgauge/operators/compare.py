@@ -93,7 +93,12 @@ def compare_cells(compared: DataFrame, checks: tuple[Check, ...] = BUILTIN) -> D
 def compare_matrix(
     compared: DataFrame, limit: int = DEFAULT_LIMIT, checks: tuple[Check, ...] = BUILTIN
 ) -> DataFrame:
-    """One row per comparison and check with one column per site, then a total row."""
+    """One row per comparison and check with one column per site, then a total row.
+
+    A site at or beyond ``limit`` has no column: it is an error, not left out.
+    """
+    beyond = F.raise_error(F.concat(F.lit(f"compare_matrix has a limit of {limit} sites but got site "), F.col("ord").cast("string")))
+    compared = compared.withColumn("ord", F.when(F.col("ord") >= limit, beyond).otherwise(F.col("ord")))
     total = compared.select(
         "compare_id",
         "ord",

@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from crawlgauge.functions.html import with_signals
@@ -181,3 +182,13 @@ def test_subpages_linked_with_another_scheme(spark):
     df = table(spark, [row(1, "/", body=body), row(1, "/pricing", body="<p>$5</p>"), row(1, "/contact", body="<p>a@x.org</p>")])
     out = subpages.audit_subpages(audit.audit(df, links=True), df).orderBy("pos", "ord").collect()
     assert {r.page_url for r in out} == {"http://s1.example/pricing", "https://s1.example/contact"}
+
+
+def test_matrix_refuses_sites_beyond_its_limit(spark):
+    checks = "array<struct<key: string, status: string, points_earned: int, points_max: int>>"
+    rows = [("c", i, None, 50 + i) for i in range(5)]
+    compared = spark.createDataFrame(rows, f"compare_id string, ord int, checks {checks}, score int")
+    last = compare.compare_matrix(compared, limit=5).filter("key = 'total'").first()
+    assert [last[f"site_{i}"] for i in range(5)] == [f"{50 + i}/100" for i in range(5)]
+    with pytest.raises(Exception, match="limit of 3 sites"):
+        compare.compare_matrix(compared).collect()

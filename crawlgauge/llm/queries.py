@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlgauge.llm import bpe, decision_list, decontaminate, html_density, jaccard_join, lm, pii_crf, sharding, token_files, weak_labels
+from crawlgauge.llm import bpe, decision_list, decontaminate, html_density, jaccard_join, lm, packing, pii_crf, sharding, token_files, weak_labels
 from crawlgauge.llm.common import arrow_batches, scratch_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,3 +169,11 @@ def op10_ranked_varbytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "token-files")
     token_files.write_files(table(spark, sf_dir, "documents"), folder)
     return token_files.read_files(spark, folder, digest=True)
+
+
+@query
+def op13_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document in sequences of at most 4096 tokens."""
+    arrow_batches(spark, 4000)
+    placed = packing.pack_documents(table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlgauge.llm import bpe, decision_list, decontaminate, html_density, jaccard_join, lm, packing, pii_crf, sharding, token_files, weak_labels
-from crawlgauge.llm.common import arrow_batches, scratch_path, table
+from crawlgauge.llm import alignment, bpe, decision_list, decontaminate, html_density, jaccard_join, lm, packing, pii_crf, sharding, token_files, weak_labels
+from crawlgauge.llm.common import arrow_batches, materialize, scratch_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -171,6 +171,21 @@ def op10_ranked_varbytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_files(spark, folder, digest=True)
 
 
+@query
+def op11_diagonal_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers in every document, and how common the links are."""
+    arrow_batches(spark)
+    aligned = alignment.align_documents(table(spark, sf_dir, "documents"))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    stored = materialize(
+        aligned.withColumn("groups_sha256", digest).drop("groups").withColumn("row", F.monotonically_increasing_id()),
+        "aligned",
+    )
+    return alignment.with_link_counts(stored).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"
+    )
+
+
 @query
 def op13_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document in sequences of at most 4096 tokens."""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlgauge.llm import alignment, bpe, decision_list, decontaminate, html_density, jaccard_join, lm, packing, pii_crf, sharding, token_files, weak_labels
+from crawlgauge.llm import alignment, bpe, decision_list, decontaminate, html_density, jaccard_join, lm, packing, pii_crf, search, sharding, token_files, weak_labels
 from crawlgauge.llm.common import arrow_batches, materialize, scratch_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -186,6 +186,32 @@ def op11_diagonal_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op12_term_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every benchmark item."""
+    arrow_batches(spark)
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_TERMS = _WORDS.replace("\\x3A-\\x60", "\\x3A-\\x40\\x5B-\\x60")
+ORACLE["op12_term_owners"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents),
+i AS (SELECT row_number() OVER () AS q, item_id, {_TERMS} AS w FROM benchmark),
+stats AS (SELECT count(*) AS nd, CAST(coalesce(sum(len(w)), 0) AS BIGINT) AS l FROM d WHERE len(w) > 0),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+qt AS (SELECT q, term, count(*) AS qtf FROM (SELECT q, unnest(w) AS term FROM i) GROUP BY ALL),
+s AS (
+  SELECT q, r, CAST(sum(qtf * CAST(floor(1000 * ln((2 * nd + 2) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT)
+      * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * len(w) * nd) // l)))) AS BIGINT) AS score
+  FROM qt JOIN tf USING (term) JOIN df USING (term) JOIN d USING (r), stats GROUP BY q, r
+),
+k AS (SELECT q, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank
+      FROM s JOIN d USING (r) WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM k JOIN i USING (q) WHERE rank <= 10
+"""
+
+
 @query
 def op13_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document in sequences of at most 4096 tokens."""

@@ -6,8 +6,8 @@ cut the same bytes, so a byte offset at which tokens of both end closes a group;
 Groups are found by diagonal run skipping. ``ends_a`` and ``ends_b`` are the offsets at which tokens end; while the
 tokenizers agree, equal offsets lie on one diagonal, i.e. ends_a[i] == ends_b[i + shift]. Stretches of growing,
 doubled length are compared at once along the diagonal and jumped over while they are equal; a comparison that fails
-is halved until the first difference is found. That irregular group is resolved by stepping whichever side is behind
-until both meet, which gives the shift for the next stretch.
+is halved until the first difference is found. The irregular group there is resolved by stepping whichever side is
+behind until both meet, which gives the shift for the next stretch.
 
 Encoding: neither tokenizer joins a character that is no white space to a space or a newline after it (checked for
 B's vocabulary when it is loaded), so texts are cut there and each distinct stretch is encoded once and remembered,
@@ -43,6 +43,8 @@ B_FILE = public_tokenizers.path("piece_bpe_32k.model")
 REMEMBERED, REMEMBERED_BYTES = 400_000, 32 << 20
 # Linked id pairs that are broadcast, some 30 bytes each; more are joined by a shuffle.
 BROADCAST_PAIRS = 1_000_000
+# New stretches encoded side by side.
+_TOGETHER = 256
 # Links expanded at a time; a group with more goes by its distinct ids.
 _EXPANDED = 1 << 21
 
@@ -67,14 +69,29 @@ class Side:
     def forget(self) -> None:
         self.ids, self.ends = np.empty(0, np.int32), np.zeros(1, np.int64)
 
-    def learn(self, stretches: list[str]) -> list[bool]:
-        """Encode and keep; tells which stretches their tokens spell."""
-        coded = self.encode(stretches)
-        sizes = np.fromiter(map(len, coded), np.int64, len(coded))
-        self.ids = np.concatenate([self.ids, np.fromiter((i for c in coded for i in c), np.int32, int(sizes.sum()))])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
-        spell = self.token_bytes.__getitem__
-        return [b"".join(map(spell, c)) == s.encode() for c, s in zip(coded, stretches, strict=True)]
+    def _spell(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.token_bytes.__getitem__, ids))
+
+    def learn(self, chunks: list[list[str]]) -> np.ndarray:
+        """Encode the stretches of chunks that may stand side by side, and keep them; tells which ones their
+        tokens spell. In a chunk that is spelled as a whole, stretches end where its tokens reach their ends."""
+        ids, sizes, sound = [self.ids], [], []
+        for chunk, coded in zip(chunks, self.encode(["".join(c) for c in chunks]), strict=True):
+            raw = [s.encode() for s in chunk]
+            if self._spell(coded) == b"".join(raw):
+                flat = np.array(coded, np.int32)
+                ends = np.searchsorted(np.cumsum(self.width[flat]), np.cumsum(list(map(len, raw)))) + 1
+                sizes.append(np.diff(ends, prepend=0))
+                sound.append(np.ones(len(chunk), bool))
+            else:
+                alone = self.encode(chunk)
+                flat = np.array([i for own in alone for i in own], np.int32)
+                sizes.append(np.array(list(map(len, alone)), np.int64))
+                sound.append(np.array([self._spell(own) == r for own, r in zip(alone, raw, strict=True)]))
+            ids.append(flat)
+        self.ids = np.concatenate(ids)
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate(sizes))])
+        return np.concatenate(sound)
 
     def gather(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the stretches one after the other, and how many each has."""
@@ -136,7 +153,14 @@ class Encoders:
             new = stretches
         if new:
             new = list(dict.fromkeys(new))
-            sound = np.logical_and(self.a.learn(new), self.b.learn(new))
+            chunks: list[list[str]] = [[]]
+            for stretch in new:
+                chunks[-1].append(stretch)
+                # After white space a text may not be cut.
+                if len(chunks[-1]) == _TOGETHER or stretch[-1].isspace():
+                    chunks.append([])
+            chunks = [c for c in chunks if c]
+            sound = self.a.learn(chunks) & self.b.learn(chunks)
             self.slot.update(zip(new, range(len(self.slot), len(self.slot) + len(new)), strict=True))
             self.sound = np.concatenate([self.sound, sound])
             self.bytes += sum(map(len, new))
@@ -187,34 +211,18 @@ def encoders(a_path: str = A_FILE, b_path: str = B_FILE) -> Encoders:
 # --- alignment --------------------------------------------------------------------------------
 
 
-def common_ends(ends_a: list[int], ends_b: list[int]) -> tuple[list[int], list[int]]:
+def common_ends(ends_a: list[int], ends_b: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Where groups end: numbers of tokens of A and of B up to each offset at which tokens of both end.
 
     Both lists rise and end with the same offset.
     """
-    cuts_a: list[int] = []
-    cuts_b: list[int] = []
+    # Stretches of the diagonal: where they end in A and in B, and how many cuts they have.
+    stop_a: list[int] = []
+    stop_b: list[int] = []
+    cuts: list[int] = []
     i = j = 0
-    n_a, n_b = len(ends_a), len(ends_b)
+    n_a = len(ends_a)
     while i < n_a:
-        # Along the diagonal: one token each as long as the ends are equal.
-        if ends_a[i] == ends_b[j]:
-            step, start = 1, i
-            i, j = i + 1, j + 1
-            while step:
-                if i + step <= n_a and ends_a[i : i + step] == ends_b[j : j + step]:
-                    i, j, step = i + step, j + step, 2 * step
-                else:
-                    # The difference is within this step: halve it until nothing is left to jump.
-                    step >>= 1
-                    while step:
-                        if i + step <= n_a and ends_a[i : i + step] == ends_b[j : j + step]:
-                            i, j = i + step, j + step
-                        step >>= 1
-            cuts_a.extend(range(start + 1, i + 1))
-            cuts_b.extend(range(j - i + start + 1, j + 1))
-            if i == n_a:
-                break
         # An irregular group: step the side that is behind until both meet; the shift is then j - i.
         a, b = ends_a[i], ends_b[j]
         while a != b:
@@ -224,10 +232,23 @@ def common_ends(ends_a: list[int], ends_b: list[int]) -> tuple[list[int], list[i
             else:
                 j += 1
                 b = ends_b[j]
-        i, j = i + 1, j + 1
-        cuts_a.append(i)
-        cuts_b.append(j)
-    return cuts_a, cuts_b
+        start = i
+        i, j, step = i + 1, j + 1, 1
+        # Along the diagonal: one token each as long as the ends are equal.
+        while i + step <= n_a and ends_a[i : i + step] == ends_b[j : j + step]:
+            i, j, step = i + step, j + step, 2 * step
+        # The difference is within this step: halve it until nothing is left to jump.
+        while step > 1:
+            step >>= 1
+            if i + step <= n_a and ends_a[i : i + step] == ends_b[j : j + step]:
+                i, j = i + step, j + step
+        stop_a.append(i)
+        stop_b.append(j)
+        cuts.append(i - start)
+    n = np.array(cuts, np.int64)
+    total = np.cumsum(n)
+    back = np.repeat(total, n) - 1 - np.arange(total[-1] if len(n) else 0)
+    return np.repeat(np.array(stop_a, np.int64), n) - back, np.repeat(np.array(stop_b, np.int64), n) - back
 
 
 def linked_pairs(
@@ -236,14 +257,21 @@ def linked_pairs(
     """Distinct (owner, pair) of the links of all groups and how many links each stands for; a pair is a * base + b."""
     size_a, size_b = np.diff(cuts_a, prepend=0), np.diff(cuts_b, prepend=0)
     links = size_a * size_b
+    top = base * (int(ids_a.max(initial=0)) + 1)
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def add(owners: np.ndarray, pairs: np.ndarray, times: np.ndarray) -> None:
-        order = np.lexsort((pairs, owners))
-        owners, pairs, times = owners[order], pairs[order], times[order]
-        if len(pairs):
-            new = np.flatnonzero(np.concatenate([[True], (np.diff(owners) != 0) | (np.diff(pairs) != 0)]))
-            found.append((owners[new], pairs[new], np.add.reduceat(times, new)))
+    def add(owners: np.ndarray, pairs: np.ndarray, times: np.ndarray | None = None) -> None:
+        # One number for both: pairs are below top.
+        keys = owners * top + pairs
+        if times is None:
+            keys.sort()
+        else:
+            order = np.argsort(keys)
+            keys, times = keys[order], times[order]
+        new = np.flatnonzero(np.diff(keys, prepend=-1))
+        if len(new):
+            n = np.diff(new, append=len(keys)) if times is None else np.add.reduceat(times, new)
+            found.append((keys[new] // top, keys[new] % top, n))
 
     small = links <= _EXPANDED
     numbers = np.flatnonzero(small)
@@ -257,7 +285,7 @@ def linked_pairs(
         wide = size_b[g][of]
         a = ids_a[(cuts_a - size_a)[g][of] + inner // wide].astype(np.int64)
         b = ids_b[(cuts_b - size_b)[g][of] + inner % wide]
-        add(owner[g][of], a * base + b, np.ones(len(of), np.int64))
+        add(owner[g][of], a * base + b)
     for g in np.flatnonzero(~small).tolist():
         a, times_a = np.unique(ids_a[cuts_a[g] - size_a[g] : cuts_a[g]], return_counts=True)
         b, times_b = np.unique(ids_b[cuts_b[g] - size_b[g] : cuts_b[g]], return_counts=True)
@@ -271,6 +299,16 @@ def linked_pairs(
     return found[0] if found else (np.empty(0, np.int64),) * 3
 
 
+@lru_cache(maxsize=4)
+def _all_names(size: int) -> pa.Array:
+    """Every id with each sign that may follow it: a comma, a bar, a semicolon, nothing."""
+    return pa.array([f"{i}{sign}" for i in range(size) for sign in (",", "|", ";", "")], pa.string())
+
+
+def _names(size: int) -> pa.Array:
+    return _all_names(1 << (size - 1).bit_length())
+
+
 def _spelled(ids_a, ids_b, cuts_a, cuts_b, ends: np.ndarray) -> pa.Array:
     """Groups of each text as `a1,a2|b1;a3|b2,b3`; text i has the groups up to ends[i]."""
     # The place of every id in the line: the ids of A of a group, then those of B.
@@ -287,9 +325,8 @@ def _spelled(ids_a, ids_b, cuts_a, cuts_b, ends: np.ndarray) -> pa.Array:
     # No sign after the last group of a text.
     stops = np.concatenate([[0], total])[ends]
     signs[stops[stops > 0] - 1] = 3
-    used, at = np.unique(names * 4 + signs, return_inverse=True)
-    table = pa.array([f"{c >> 2}{',|;'[c & 3 : (c & 3) + 1]}" for c in used.tolist()], pa.string())
-    listed = pa.ListArray.from_arrays(np.concatenate([[0], stops]).astype(np.int32), table.take(pa.array(at)))
+    listed_ids = _names(int(names.max(initial=0)) + 1).take(pa.array(names * 4 + signs))
+    listed = pa.ListArray.from_arrays(np.concatenate([[0], stops]).astype(np.int32), listed_ids)
     return pc.binary_join(listed, "")
 
 
@@ -298,7 +335,7 @@ def _align(a_path: str, b_path: str):
         tool = encoders(a_path, b_path)
         ids_a, ids_b, n_a, n_b = tool.batch(batch.column("text"))
         ends_a, ends_b = np.cumsum(tool.a.width[ids_a]), np.cumsum(tool.b.width[ids_b])
-        cuts_a, cuts_b = (np.array(c, np.int64) for c in common_ends(ends_a.tolist(), ends_b.tolist()))
+        cuts_a, cuts_b = common_ends(ends_a.tolist(), ends_b.tolist())
         # A text ends with a group.
         ends = np.searchsorted(cuts_a, np.cumsum(n_a), side="right")
         owner = np.repeat(np.arange(len(n_a)), np.diff(ends, prepend=0))

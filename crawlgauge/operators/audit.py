@@ -62,22 +62,32 @@ def _requested_url() -> Column:
 
 
 def home_rows(
-    resources: DataFrame, checks: tuple[Check, ...] = BUILTIN, links: bool = True
+    resources: DataFrame, checks: tuple[Check, ...] = BUILTIN, links: bool = True, carry: tuple[str, ...] = ()
 ) -> DataFrame:
-    """Homepages judged: (scan_id, fetched_at, home).
+    """Homepages judged: (scan_id, fetched_at, home), and the columns ``carry``.
 
     Only what ``checks`` and ``links`` ask for is extracted from the page.
     """
     fetched = only_kind(resources, "home").filter(F.col("path") == HOME_PATH).select(
-        "scan_id",
-        "fetched_at",
+        "scan_id", "fetched_at", *carry, *_fetched_page()
+    )
+    facts, fields = _home_facts(fetched, checks, links)
+    return facts.select("scan_id", "fetched_at", *carry, _home(fields, checks))
+
+
+def _fetched_page() -> list[Column]:
+    return [
         _requested_url().alias("url"),
-        "status",
-        "error",
+        F.col("status"),
+        F.col("error"),
         F.coalesce("final_url", _requested_url()).alias("final_url"),
-        "headers",
+        F.col("headers"),
         F.when(F.col("error").isNull(), F.coalesce("body", F.lit(""))).alias("html"),
-    )
+    ]
+
+
+def _home_facts(fetched: DataFrame, checks: tuple[Check, ...], links: bool) -> tuple[DataFrame, list[str]]:
+    """Facts of pages, and the names of those that a judged homepage keeps."""
     facts = page_facts(fetched)
     fields = ["url", "status", "error"]
     if of_stage(checks, SITE):
@@ -85,24 +95,61 @@ def home_rows(
     if links:
         facts = with_subpage_links(facts, base_url(F.col("url")))
         fields.append("links")
+    return facts, fields
+
+
+def _home(fields: list[str], checks: tuple[Check, ...]) -> Column:
     judged = [rule_of(c).alias(c.key) for c in of_stage(checks, HOME)]
-    return facts.select("scan_id", "fetched_at", F.struct(*fields, *judged).alias("home"))
+    return F.struct(*fields, *judged).alias("home")
 
 
-def text_rows(resources: DataFrame, checks: tuple[Check, ...] = BUILTIN) -> DataFrame:
-    """robots.txt, llms.txt and sitemap.xml judged: (scan_id, fetched_at, path, one outcome per key)."""
-    paths = [TEXT_STAGES[s] for s in TEXT_STAGES if of_stage(checks, s)]
-    rows = only_kind(resources, "text").filter(F.col("path").isin(paths))
-    outcomes = [
+def _text_outcomes(checks: tuple[Check, ...]) -> list[Column]:
+    return [
         F.when(F.col("path") == path, rule_of(c)).alias(c.key)
         for stage, path in TEXT_STAGES.items()
         for c in of_stage(checks, stage)
     ]
-    return rows.select("scan_id", "fetched_at", "path", *outcomes)
+
+
+def text_rows(
+    resources: DataFrame, checks: tuple[Check, ...] = BUILTIN, carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """robots.txt, llms.txt and sitemap.xml judged: (scan_id, fetched_at, path, one outcome per key)."""
+    paths = [TEXT_STAGES[s] for s in TEXT_STAGES if of_stage(checks, s)]
+    rows = only_kind(resources, "text").filter(F.col("path").isin(paths))
+    return rows.select("scan_id", "fetched_at", *carry, "path", *_text_outcomes(checks))
+
+
+def judged_rows(
+    resources: DataFrame, checks: tuple[Check, ...] = BUILTIN, carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """All resources judged on their own row in one pass, bodies ending here: home, an outcome per text file and
+    the code of a probe, each where the path is its own. Resources of other paths belong to no site."""
+    is_home = F.col("path") == HOME_PATH
+    wanted = [HOME_PATH, *TEXT_PATHS, *PROBE_PATHS]
+    # The page is read where there is one: the HTML of other paths is NULL, and so is what is found in it.
+    page = [c if name != "html" else F.when(is_home, c).alias("html") for c, name in zip(_fetched_page(), _PAGE_COLUMNS)]
+    rows = resources.filter(F.col("path").isin(wanted)).select(
+        "scan_id", "fetched_at", "path", "site_url", *carry, _probe_code().alias("code"), *page,
+        F.when(F.col("path").isin(TEXT_PATHS), F.col("body")).alias("body"),
+    )
+    facts, fields = _home_facts(rows, checks, links=False)
+    home = F.when(is_home, _home(fields, checks)).alias("home")
+    code = F.when(F.col("path").isin(PROBE_PATHS), F.col("code")).alias("code")
+    return facts.select("scan_id", "fetched_at", "path", "site_url", *carry, home, *_text_outcomes(checks), code)
+
+
+_PAGE_COLUMNS = ["url", "status", "error", "final_url", "headers", "html"]
 
 
 def probe_rows(resources: DataFrame) -> DataFrame:
     """Probed paths as small codes: (scan_id, fetched_at, path, code). Reads no body."""
+    return only_kind(resources, "probe").filter(F.col("path").isin(PROBE_PATHS)).select(
+        "scan_id", "fetched_at", "path", _probe_code().alias("code")
+    )
+
+
+def _probe_code() -> Column:
     ok = F.col("error").isNull() & F.coalesce(F.col("status") == 200, F.lit(False))
     cors = header_any_case("Access-Control-Allow-Origin").isNotNull()
     json_type = F.coalesce(
@@ -112,14 +159,11 @@ def probe_rows(resources: DataFrame) -> DataFrame:
         F.coalesce(F.col("status").isin(401, 403), F.lit(False))
         | F.coalesce(login_url(F.coalesce("final_url", _requested_path())), F.lit(False))
     )
-    code = (
+    return (
         F.when(F.col("path").isin(API_PATHS), F.when(ok & cors, 2).when(ok, 1).otherwise(0))
         .when(F.col("path").isin(MCP_PATHS), (ok & json_type).cast("int"))
         .otherwise(gated.cast("int"))
     )
-    return only_kind(resources, "probe").filter(F.col("path").isin(PROBE_PATHS)).select(
-        "scan_id", "fetched_at", "path", code.alias("code")
-    )
 
 
 def _requested_path() -> Column:
@@ -208,11 +252,20 @@ def assemble(
     return _site_rows(sites, checks, extra)
 
 
-def fold_events(events: DataFrame, keys: list, checks: tuple[Check, ...] = BUILTIN) -> DataFrame:
-    """The same site rows from one stream of judged rows, grouped by ``keys``."""
-    merged = events.groupBy(*keys).agg(*home_aggs(), *text_aggs(checks), *probe_aggs())
-    extra = [c for c in merged.columns if c == "session_window"]
-    return _site_rows(merged, checks, extra)
+def fold_events(events: DataFrame, keys: list[str], checks: tuple[Check, ...] = BUILTIN) -> DataFrame:
+    """The same site rows from one stream of judged rows, grouped by ``keys``.
+
+    Also the site URL, how many resources were taken in, and the keys of text files that never came.
+    """
+    text_keys = [c.key for s in TEXT_STAGES for c in of_stage(checks, s)]
+    merged = events.groupBy(*keys).agg(
+        *home_aggs(), *text_aggs(checks), *probe_aggs(),
+        F.max("site_url").alias("site_url"), F.count("*").alias("n_resources"),
+    )
+    names = [F.when(F.col(k).isNull(), F.lit(k)) for k in text_keys]
+    absent = F.array_compact(F.array(*names)) if names else F.array().cast("array<string>")
+    extra = [k for k in keys if k != "scan_id"] + ["site_url", "n_resources", "absent"]
+    return _site_rows(merged.withColumn("absent", absent), checks, extra)
 
 
 def scannable() -> Column:
@@ -227,18 +280,23 @@ def scannable_sites(sites: DataFrame) -> DataFrame:
     return sites.filter(scannable())
 
 
-def scan_errors(sites: DataFrame) -> DataFrame:
-    """Sites without a usable homepage, with the reason; they get no checks."""
+def failure() -> Column:
+    """Why a site is not scannable."""
     home = F.col("home")
-    why = F.coalesce(
+    return F.coalesce(
         home["error"],
         F.concat(F.lit("HTTP status "), home["status"].cast("string")),
         F.lit("homepage not fetched"),
     )
+
+
+def scan_errors(sites: DataFrame) -> DataFrame:
+    """Sites without a usable homepage, with the reason; they get no checks."""
+    home = F.col("home")
     url = home["url"]
     if "site_url" in sites.columns:
         url = F.coalesce(url, normalize_url(F.col("site_url")))
-    return sites.filter(~scannable()).select("scan_id", url.alias("url"), why.alias("error"))
+    return sites.filter(~scannable()).select("scan_id", url.alias("url"), failure().alias("error"))
 
 
 # --- findings -------------------------------------------------------------------------------
@@ -278,8 +336,8 @@ def worded(template: Column, args: Column) -> Column:
     return F.call_function("format_string", template, *values)
 
 
-def with_checks(sites: DataFrame, checks: tuple[Check, ...] = BUILTIN) -> DataFrame:
-    """Add ``checks``: the findings of each scannable site as an array in registry order."""
+def findings_of(checks: tuple[Check, ...] = BUILTIN) -> Column:
+    """The findings of a site row as an array in registry order."""
     of_home = {c.key for c in of_stage(checks, HOME)}
     of_site = {c.key: rule_of(c) for c in of_stage(checks, SITE)}
 
@@ -329,7 +387,13 @@ def with_checks(sites: DataFrame, checks: tuple[Check, ...] = BUILTIN) -> DataFr
             p["x"]["time"].alias("effort_time"),
         ),
     )
+    return findings
+
+
+def with_checks(sites: DataFrame, checks: tuple[Check, ...] = BUILTIN) -> DataFrame:
+    """Add ``checks``: the findings of each scannable site as an array in registry order."""
     home = F.col("home")
+    of_home = {c.key for c in of_stage(checks, HOME)}
     for_links = []
     if "links" in sites.schema["home"].dataType.names:
         own_page = [home[k].alias(k) for k in PAGE_RULES if k in of_home]
@@ -337,7 +401,7 @@ def with_checks(sites: DataFrame, checks: tuple[Check, ...] = BUILTIN) -> DataFr
             home["status"].alias("home_status"), home["links"].alias("links"), F.struct(*own_page).alias("page"),
         ]
     return scannable_sites(sites).select(
-        "scan_id", home["url"].alias("url"), findings.alias("checks"), *for_links
+        "scan_id", home["url"].alias("url"), findings_of(checks).alias("checks"), *for_links
     )
 
 

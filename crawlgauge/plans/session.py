@@ -12,8 +12,8 @@ _RESULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     # A repeated JSON key keeps its last value instead of making the document unreadable.
     "spark.sql.variant.allowDuplicateKeys": "true",
-    # Rows of one session are merged before they are shuffled, so copies of a hot scan shrink map-side.
-    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
+    # Branches of a union keep tasks of their own: one task cannot hold the state stores of two branches.
+    "spark.sql.unionOutputPartitioning": "false",
 }
 
 _PLAN_CONF = {

@@ -10,6 +10,8 @@ RESOURCES = (
     "scan_id bigint, site_url string, path string, status int, final_url string, "
     "headers map<string,string>, body string, error string, fetched_at timestamp"
 )
+# Resources as a crawler streams them: each carries the start of its scan.
+ARRIVING = RESOURCES + ", started_at timestamp"
 
 FINDING = (
     "struct<check_idx:int,key:string,label:string,status:string,reason:string,"

@@ -44,9 +44,9 @@ def resource_scan(spark: SparkSession, path: str, fmt: str = "parquet") -> DataF
 
 
 def resource_stream(spark: SparkSession, path: str, files_per_batch: int = 64) -> DataFrame:
-    """The same table read as a stream of arriving files."""
+    """The same table, with the start of each scan, read as a stream of arriving files."""
     return (
-        spark.readStream.schema(schemas.RESOURCES)
+        spark.readStream.schema(schemas.ARRIVING)
         .option("maxFilesPerTrigger", files_per_batch)
         .parquet(path)
     )

@@ -11,8 +11,8 @@ started ``SCAN_TIME`` later arrive. SCAN_TIME is thus the longest a scan may tak
   error     when a scan closes without a usable homepage, one that comes too late included; such a scan has no checks
 
 The result of a closed scan is that of the batch audit: aggregates are maxima over (fetch time, value), so
-re-delivered resources change nothing there and copies of a hot scan merge map-side. Check events that are emitted
-before can be de-duplicated. Rows are judged before they enter any state, which holds codes and reasons only.
+re-delivered resources change nothing there and copies of a hot scan merge map-side. Check events emitted before are
+those of the first delivery. Rows are judged before they enter any state, which holds codes and reasons only.
 """
 
 from __future__ import annotations
@@ -31,7 +31,6 @@ from crawlgauge.operators.audit import (
     judged_rows,
     of_stage,
     scannable,
-    text_rows,
     verdicts,
     worded,
 )
@@ -87,22 +86,18 @@ def _emit(rows: DataFrame, outcomes: list[tuple[Check, Column]], checks: tuple[C
     )
 
 
-def early_events(rows: DataFrame, checks: tuple[Check, ...] = BUILTIN, once: bool = False) -> DataFrame:
+def early_events(rows: DataFrame, checks: tuple[Check, ...] = BUILTIN) -> DataFrame:
     """Events of the checks on one resource, as they can first be told; ``rows`` come from ``arriving``.
 
-    ``once`` suppresses the events of re-delivered resources, at the price of state.
+    A resource is judged when it first arrives, re-delivered and late ones tell nothing.
     """
-    homes = home_rows(rows, checks, links=False, carry=(STARTED,)).filter(scannable())
-    texts = text_rows(rows, checks, carry=(STARTED,))
-    if once:
-        homes, texts = dedup(homes, _SCAN), dedup(texts, [*_SCAN, "path"])
-    of_home = [(c, F.col("home")[c.key]) for c in of_stage(checks, HOME)]
-    of_text = [(c, F.col(c.key)) for s in TEXT_STAGES for c in of_stage(checks, s)]
+    judged = judged_rows(rows.filter(F.col("path").isin([HOME_PATH, *TEXT_PATHS])), checks, carry=(STARTED,))
     # Whether a homepage is usable is told without its body.
     usable = rows.filter((F.col("path") == HOME_PATH) & F.col("error").isNull() & (F.col("status") < 400))
-    gate = dedup(usable.select(*_SCAN), _SCAN)
-    gated = texts.join(gate, _SCAN)
-    return _emit(homes, of_home, checks).unionByName(_emit(gated, of_text, checks))
+    told = dedup(judged, [*_SCAN, "path"]).join(dedup(usable.select(*_SCAN), _SCAN), _SCAN)
+    outcomes = [(c, F.when(scannable(), F.col("home")[c.key])) for c in of_stage(checks, HOME)]
+    outcomes += [(c, F.col(c.key)) for s in TEXT_STAGES for c in of_stage(checks, s)]
+    return _emit(told, outcomes, checks)
 
 
 def closed_scans(rows: DataFrame, checks: tuple[Check, ...] = BUILTIN) -> DataFrame:
@@ -141,12 +136,12 @@ def closing_events(closed: DataFrame, checks: tuple[Check, ...] = BUILTIN) -> Da
 
 
 def audit_events(
-    resources: DataFrame, checks: tuple[Check, ...] = BUILTIN, once: bool = False, scan_time: str = SCAN_TIME
+    resources: DataFrame, checks: tuple[Check, ...] = BUILTIN, scan_time: str = SCAN_TIME
 ) -> DataFrame:
     """The event table: check, complete and error events of all scans in one append stream."""
     rows = arriving(resources, scan_time)
     closing = closing_events(closed_scans(rows, checks), checks)
-    return closing.unionByName(early_events(rows, checks, once), allowMissingColumns=True)
+    return closing.unionByName(early_events(rows, checks), allowMissingColumns=True)
 
 
 def completed_sites(

@@ -149,7 +149,7 @@ def _(d):
     """Every third scan is delivered twice at once, yet each of its events is emitted once."""
     again = d.resources.filter(F.col("scan_id") % 3 == 0)
     stream = staged(d, [d.resources.unionByName(again)], True)
-    out, _ = drained(d, st.audit_events(stream, once=True), "events")
+    out, _ = drained(d, st.audit_events(stream), "events")
     return out.filter("event_type = 'check'").select(*_CHECK_COLUMNS)
 
 

@@ -78,7 +78,9 @@ def _char(code: Column) -> Column:
     valid = code.between(2, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
     utf32 = F.unhex(F.lpad(F.hex(code), 8, "0"))
     return (
-        F.when(code.between(128, 159), F.try_element_at(_literal_map(_C1_CHARS), code.cast("string")))
+        # As in the source itself, the characters that mark cuts are no text.
+        F.when(code.between(1, 5), F.lit(""))
+        .when(code.between(128, 159), F.try_element_at(_literal_map(_C1_CHARS), code.cast("string")))
         .when(valid, F.decode(utf32, "UTF-32"))
         .otherwise(F.lit("�"))
     )
@@ -143,6 +145,11 @@ def attribute(tag: Column, name: str) -> Column:
     return F.regexp_replace(F.nullif(F.regexp_extract(tag, walk, 1), F.lit("")), "^[\"']|[\"']$", "")
 
 
+def without_marks(html: Column) -> Column:
+    """The source without the control characters that mark cuts below; they are no text of a page."""
+    return F.regexp_replace(html, "[\x01-\x05]++", "")
+
+
 def tokens(html: Column) -> Column:
     """Tags, comments and whole script/style elements, in document order."""
     return find_all(html, _TOKEN)
@@ -327,8 +334,8 @@ def with_signals(pages: DataFrame, html: str = "html") -> DataFrame:
     optimizer from folding the levels together and evaluating a regex twice.
     """
     keep = [c for c in pages.columns if c != html]
-    source = F.col(html)
-    parsed = pages.select(
+    source = F.col("_source")
+    parsed = pages.select(*keep, without_marks(F.col(html)).alias("_source")).select(
         *keep,
         tokens(source).alias("_tokens"),
         markup_only(source).alias("_markup"),

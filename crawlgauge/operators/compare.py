@@ -8,8 +8,6 @@ from pyspark.sql import Window as W
 
 from crawlgauge.functions.urls import normalize_url
 from crawlgauge.operators.scoring import status_icon
-from crawlgauge.plans.session import materialize
-from crawlgauge.plans.skew import salted_join
 from crawlgauge.registry import BUILTIN, Check, check_dim
 
 DEFAULT_LIMIT = 3
@@ -49,45 +47,30 @@ def compare(
 
     ``scored`` and ``errors`` are read twice and so should be stored tables: once
     for the latest scan of each URL, once for the results of the scans asked for.
-    Popular URLs may be named by very many requests, so both joins from the
-    request side split hot keys; the results side is reduced to the scans asked
-    for before its wide columns move.
+    Popular URLs may be named by very many requests: the right side of both joins
+    is unique, so adaptive execution splits their rows. The results side is reduced
+    to the scans asked for before its wide columns move. Nothing runs until the
+    result is read; what both uses of the asked rows share is exchanged once.
     """
     known = result_or_error(scored, errors, list(columns))
-    asked = salted_join(compare_requests(requests, limit), latest_scans(known), "url")
-    # Four narrow columns, written once because they are read three times below.
-    asked = materialize(asked, "compare-asked")
+    asked = compare_requests(requests, limit).join(latest_scans(known), "url", "left")
     wanted = asked.select("scan_id").distinct()
     picked = known.join(wanted, "scan_id", "left_semi").drop("url")
-    rows = salted_join(asked, picked, "scan_id")
+    rows = asked.join(picked, "scan_id", "left")
     missing = F.when(F.col("scan_id").isNull(), F.lit("not scanned"))
     return rows.withColumn("error", F.coalesce("error", missing))
 
 
-def _registry_rows(checks: tuple[Check, ...]) -> Column:
-    """The registry as a literal array to explode next to each row: no join is needed."""
-    return F.array(
-        *[
-            F.struct(F.lit(i).alias("check_idx"), F.lit(c.key).alias("key"), F.lit(c.label).alias("label"))
-            for i, c in enumerate(checks)
-        ]
-    )
-
-
 def _cell(status: Column, earned: Column, top: Column) -> Column:
     return F.concat(status_icon(status), F.lit(" "), earned.cast("string"), F.lit("/"), top.cast("string"))
 
 
-def compare_cells(compared: DataFrame, checks: tuple[Check, ...] = BUILTIN) -> DataFrame:
-    """Long form of a comparison: every check for every requested site, absent results dashed."""
-    grid = compared.select("compare_id", "ord", "checks", F.inline(_registry_rows(checks)))
-    # The cell's finding is looked up in the row's own array; nothing is joined.
-    key = F.col("key")
-    hit = F.try_element_at(F.filter("checks", lambda c: c["key"] == key), F.lit(1))
-    looked_up = grid.select("compare_id", "ord", "check_idx", "key", "label", hit.alias("c"))
-    c = F.col("c")
-    cell = F.coalesce(_cell(c["status"], c["points_earned"], c["points_max"]), F.lit(ABSENT))
-    return looked_up.select("compare_id", "ord", "check_idx", "key", "label", cell.alias("cell"))
+def _cells(checks: tuple[Check, ...], find) -> Column:
+    """Every check of the registry as a cell; ``find`` gives its finding, NULL where there is none."""
+    def shown(c: Column) -> Column:
+        return F.coalesce(_cell(c["status"], c["points_earned"], c["points_max"]), F.lit(ABSENT))
+
+    return F.array(*[shown(find(c.key)) for c in checks])
 
 
 def compare_matrix(
@@ -95,38 +78,51 @@ def compare_matrix(
 ) -> DataFrame:
     """One row per comparison and check with one column per site, then a total row.
 
-    A site at or beyond ``limit`` has no column: it is an error, not left out.
+    The cells of a site are built in its row; one aggregation puts the at most ``limit`` sites of a comparison side
+    by side, and its rows are read off there. A site at or beyond ``limit`` has no column: it is an error, not left out.
     """
     beyond = F.raise_error(F.concat(F.lit(f"compare_matrix has a limit of {limit} sites but got site "), F.col("ord").cast("string")))
-    compared = compared.withColumn("ord", F.when(F.col("ord") >= limit, beyond).otherwise(F.col("ord")))
-    total = compared.select(
+
+    def find(key: str) -> Column:
+        return F.try_element_at(F.filter("checks", lambda c: c["key"] == key), F.lit(1))
+
+    total = F.coalesce(F.concat(F.col("score").cast("string"), F.lit("/100")), F.lit(ABSENT))
+    sites = compared.select(
         "compare_id",
-        "ord",
-        F.lit(len(checks)).alias("check_idx"),
-        F.lit("total").alias("key"),
-        F.lit(TOTAL_LABEL).alias("label"),
-        F.coalesce(F.concat(F.col("score").cast("string"), F.lit("/100")), F.lit(ABSENT)).alias("cell"),
+        F.when(F.col("ord") >= limit, beyond).otherwise(F.col("ord")).alias("ord"),
+        F.concat(_cells(checks, find), F.array(total)).alias("cells"),
     )
-    cells = compare_cells(compared, checks).unionByName(total)
-    grouped = cells.groupBy("compare_id", "check_idx", "key", "label")
-    sites = [
-        F.max(F.when(F.col("ord") == i, F.col("cell"))).alias(f"site_{i}") for i in range(limit)
+    columns = [F.max(F.when(F.col("ord") == i, F.col("cells"))).alias(f"site_{i}") for i in range(limit)]
+    side_by_side = sites.groupBy("compare_id").agg(*columns)
+    heads = [(i, c.key, c.label) for i, c in enumerate(checks)] + [(len(checks), "total", TOTAL_LABEL)]
+    rows = [
+        F.struct(
+            F.lit(i).alias("check_idx"), F.lit(key).alias("key"), F.lit(label).alias("label"),
+            *[F.col(f"site_{n}")[i].alias(f"site_{n}") for n in range(limit)],
+        )
+        for i, key, label in heads
     ]
-    return grouped.agg(*sites)
+    return side_by_side.select("compare_id", F.inline(F.array(*rows)))
 
 
 def compare_lookup(
     requested: DataFrame, results: DataFrame, checks: tuple[Check, ...] = BUILTIN
 ) -> DataFrame:
-    """Every check of each requested scan, left-joined to stored results: absent ones show as a dash."""
-    grid = requested.select("scan_id", F.inline(_registry_rows(checks)))
-    joined = grid.join(
-        results.select("scan_id", "key", "status", "points_earned", "points_max"),
-        ["scan_id", "key"],
-        "left",
+    """Every check of each requested scan next to stored results: absent ones show as a dash.
+
+    Results are gathered to one row per scan before anything is joined, so a scan is one row of the exchange.
+    """
+    finding = F.struct("status", "points_earned", "points_max")
+    gathered = results.groupBy("scan_id").agg(
+        *[F.max(F.when(F.col("key") == c.key, finding)).alias(f"_{i}") for i, c in enumerate(checks)]
     )
-    cell = _cell(F.col("status"), F.col("points_earned"), F.col("points_max"))
-    return joined.select("scan_id", "check_idx", "key", F.coalesce(cell, F.lit(ABSENT)).alias("cell"))
+    cells = _cells(checks, lambda key: F.col(f"_{[c.key for c in checks].index(key)}"))
+    joined = requested.join(gathered, "scan_id", "left").select("scan_id", cells.alias("cells"))
+    rows = [
+        F.struct(F.lit(i).alias("check_idx"), F.lit(c.key).alias("key"), F.col("cells")[i].alias("cell"))
+        for i, c in enumerate(checks)
+    ]
+    return joined.select("scan_id", F.inline(F.array(*rows)))
 
 
 def rank_sites(scores: DataFrame, group: str) -> DataFrame:
@@ -134,7 +130,8 @@ def rank_sites(scores: DataFrame, group: str) -> DataFrame:
 
     Scores are whole numbers from 0 to 100, so a group has at most 101 distinct
     ones: the window runs over that histogram, never over the sites themselves.
-    ``scores`` is read several times and so should be a stored table.
+    ``scores`` is read twice, for the histogram and for the join with the ranks,
+    whose rows are unique: a hot group's sites are split by adaptive execution.
     """
     hist = scores.groupBy(group, "score").agg(F.count("*").alias("_n"))
     above = W.partitionBy(group).orderBy(F.col("score").desc()).rowsBetween(W.unboundedPreceding, -1)
@@ -143,7 +140,7 @@ def rank_sites(scores: DataFrame, group: str) -> DataFrame:
         (F.coalesce(F.sum("_n").over(above), F.lit(0)) + 1).alias("rank"),
     )
     keyed = scores.withColumn("_k", F.struct(F.col(group), F.col("score")))
-    return salted_join(keyed, ranks, "_k", "inner").drop("_k")
+    return keyed.join(ranks, "_k").drop("_k")
 
 
 def fleet_rollup(results: DataFrame) -> DataFrame:

@@ -225,3 +225,27 @@ def test_markup_inside_attribute_values_is_no_markup(spark):
     assert [r.script_count for r in out] == [0] * 5
     assert [[(a.text, a.href) for a in r.anchors] for r in out] == [[], [("go", "/pricing")], [], [], []]
     assert [r.text_all_joined for r in out] == ["", "visible text Go", "x", "", "\ufffd \u2713 A"]
+
+
+def test_control_characters_change_nothing(spark):
+    """The characters that mark cuts, raw or as references, in text, attributes, scripts and links."""
+    from crawlgauge.functions.html import with_signals
+
+    clean = (
+        '<html><head><title>T</title><meta property="og:title" content="x"></head><body class="c"><p>a href=/ghost b</p>'
+        '<a href="/docs">Docs <b>here</b></a><div id="root">x</div><span itemprop="price">9</span>'
+        '<script type="application/ld+json">{"@type":"Product"}</script><input type="password"></body></html>'
+    )
+    rng = random.Random(7)
+    pages = [clean]
+    for _ in range(40):
+        page = clean
+        for _ in range(12):
+            at = rng.randint(0, len(page))
+            page = page[:at] + chr(rng.randint(1, 5)) + page[at:]
+        pages.append(page)
+    pages.append(clean.replace("a href=/ghost", "&#1;a &#x4;href=/ghost&#5;").replace("Docs <b>", "&#2;Docs &#3;<b>"))
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "i int, html string")
+    out = [tuple(r)[1:] for r in with_signals(df).orderBy("i").collect()]
+    assert all(o == out[0] for o in out[1:])
+    assert "/ghost" not in [a.href for a in with_signals(df).first().anchors]

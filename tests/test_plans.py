@@ -4,7 +4,8 @@ import re
 
 from pyspark.sql import functions as F
 
-from crawlgauge.operators import audit, compare, subpages
+from crawlgauge.operators import audit, compare, reports, scoring, subpages
+from crawlgauge.plans.session import materialize
 from crawlgauge.sources.tables import fetch_frontier, resource_scan, write_resources
 from verification import fixtures as fx
 
@@ -79,3 +80,63 @@ def test_one_check_reads_only_its_resources(spark, small, tmp_path):
     only = tuple(c for c in BUILTIN if c.key == "sitemap")
     text = plan(audit.audit(res, only))
     assert "anchor" not in text and "/openapi.json" not in text
+
+
+def test_bodies_are_parsed_only_when_linked(spark, small, tmp_path):
+    res = stored(spark, small, tmp_path)
+    audited = materialize(audit.audit(res, links=True), "audited-links")
+    links = subpages.subpage_links(audited)
+    kept = {(r.scan_id, r.path) for r in subpages.linked_resources(links, res).select("scan_id", "path").collect()}
+    asked = {(r.scan_id, r.path) for r in links.collect()}
+    served = {(r.scan_id, r.path) for r in res.filter("path <> '/' AND status = 200 AND error IS NULL").select("scan_id", "path").collect()}
+    # No link of a served page is lost, and next to nothing else comes through.
+    assert kept >= asked & served and len(kept - asked) <= 0.01 * len(served - asked) + 1
+    assert not {p for _, p in kept} & {"/robots.txt", "/llms.txt", "/sitemap.xml", "/openapi.json"}
+    # The filter is joined to the scan itself: what is read from the HTML comes above it.
+    lines = plan(subpages.fetched_pages(links, res)).splitlines()
+    probe = min(i for i, line in enumerate(lines) if "_word" in line and "BroadcastHashJoin" in line)
+    assert any("_markup" in line for line in lines[:probe]) and not any("_markup" in line for line in lines[probe:])
+    for cols in exchanged_columns(subpages.page_results(audited, res)):
+        assert not {"body", "html", "headers"} & set(cols)
+
+
+def test_filter_of_links_stays_small_and_loses_none(spark, monkeypatch):
+    links = spark.range(20_000).select(F.col("id").alias("scan_id"), F.lit("/docs").alias("path"))
+    monkeypatch.setattr(subpages, "LINK_BITS", 1 << 12)
+    words = subpages.link_words(links)
+    assert words.count() == (1 << 12) / 64
+    monkeypatch.setattr(subpages, "LINK_BITS", 1 << 18)
+    pages = links.unionByName(spark.range(20_000).select(F.col("id").alias("scan_id"), F.lit("/x").alias("path")))
+    pages = pages.selectExpr("*", "200 AS status", "CAST(NULL AS STRING) AS error")
+    kept = subpages.linked_resources(links, pages).groupBy("path").count().collect()
+    counts = {r.path: r["count"] for r in kept}
+    assert counts["/docs"] == 20_000 and 0 < counts.get("/x", 1) < 0.12 * 20_000
+
+
+def test_pages_are_nested_with_one_exchange_and_the_matrix_with_one(spark, small, tmp_path):
+    res = stored(spark, small, tmp_path)
+    audited = materialize(audit.audit(res, links=True), "audited-nest")
+    pages = subpages.page_results(audited, res)
+    alone = len(exchanged_columns(reports.nest_results(audited)))
+    both = len(exchanged_columns(reports.nest_results(audited, pages)))
+    assert alone == 0 and both <= len(exchanged_columns(pages)) + 2
+    scored = materialize(scoring.with_score(audited), "scored-matrix")
+    compared = scored.selectExpr("scan_id DIV 3 AS compare_id", "CAST(scan_id % 3 AS INT) AS ord", "checks", "score")
+    assert len(exchanged_columns(compare.compare_matrix(compared))) == 1
+    results = materialize(audit.check_results(audited), "results-lookup")
+    requested = spark.range(50).withColumnRenamed("id", "scan_id")
+    assert all("key" not in cols for cols in exchanged_columns(compare.compare_lookup(requested, results)))
+
+
+def test_comparing_starts_no_job(spark, small, tmp_path):
+    sites = materialize(audit.assemble(stored(spark, small, tmp_path)), "sites-compare")
+    scored, errors = scoring.with_score(audit.with_checks(sites)), audit.scan_errors(sites)
+    asked = fx.compare_requests(fx.pages(spark, small))
+    sc = spark.sparkContext
+    sc.setJobGroup("no job", "building a plan")
+    try:
+        rows = compare.compare(asked, scored, errors)
+        assert list(sc.statusTracker().getJobIdsForGroup("no job")) == []
+        assert rows.count() > 0 and list(sc.statusTracker().getJobIdsForGroup("no job")) != []
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)

@@ -68,9 +68,10 @@ class Data:
         checks = tuple(c for c in BUILTIN if c.key in PAGE_RULES)
         return audit.audit(self.resources, checks, links=True)
 
-    @cached_property
+    @property
     def subpages(self) -> DataFrame:
-        return subpages.audit_subpages(self.linked, self.resources)
+        """Audited sub-pages; the homepages with their links are stored, being read twice."""
+        return subpages.audit_subpages(materialize(self.linked, "linked"), self.resources)
 
     def of_path(self, path: str) -> DataFrame:
         return self.resources.filter(F.col("path") == path)

@@ -23,8 +23,8 @@ from verification.base import query
 
 def fetched(d):
     """Homepages whose fetch gave no error."""
-    answered = d.of_path("/").filter("error IS NULL").select("scan_id")
-    return d.homes.join(answered, "scan_id", "left_semi")
+    answered = d.of_path("/").filter("error IS NULL")
+    return answered.select("scan_id", F.col("site_url").alias("url"), F.col("body").alias("html"))
 
 
 def joined(col):
@@ -413,14 +413,11 @@ def _(d):
 @query("cmp_union", f"""
 SELECT DISTINCT scan_id, unnest(providers) AS provider FROM richf""")
 def _(d):
-    """Both detection methods as rows, united."""
-    by_script = d.facts.select(
-        "scan_id", F.explode(textrules.cmp_providers(F.col("script_srcs"), F.array().cast("array<string>"))).alias("provider")
-    )
-    by_element = d.facts.select(
-        "scan_id", F.explode(textrules.cmp_providers(F.array().cast("array<string>"), F.col("consent_elements"))).alias("provider")
-    )
-    return by_script.union(by_element).distinct()
+    """Providers by both detection methods, united within the row and exploded once: pages are parsed once."""
+    none = F.array().cast("array<string>")
+    by_script = textrules.cmp_providers(F.col("script_srcs"), none)
+    by_element = textrules.cmp_providers(none, F.col("consent_elements"))
+    return d.facts.select("scan_id", F.explode(F.array_union(by_script, by_element)).alias("provider"))
 
 
 # --- probes ---------------------------------------------------------------------------------

@@ -137,7 +137,7 @@ LEFT JOIN (SELECT scan_id, array_to_string(list(page_type || '>' || page_url ||
 
 def nested(d):
     stored = d.stored()
-    return reports.nest_results(stored, subpages.audit_subpages(stored, d.resources))
+    return reports.nest_results(stored, subpages.page_results(stored, d.resources))
 
 
 def flattened(n):
@@ -272,14 +272,13 @@ def _(d):
     return detect(d).groupBy("page_type", "pos").agg(F.count("*").alias("n"))
 
 
-@query("subpage_scan", "SELECT scan_id, path, CAST(coalesce(len_body, 0) AS INTEGER) AS text_len FROM facts WHERE path <> '/'")
+@query("subpage_scan", """
+SELECT DISTINCT scan_id, path, CAST(coalesce(len_body, 0) AS INTEGER) AS text_len FROM facts JOIN links USING (scan_id, path) WHERE path <> '/'""")
 def _(d):
-    served = d.resources.filter(
-        F.col("path").isin("/pricing", "/docs", "/contact-us", "/docs/pricing", "/x")
-        & (F.col("status") == 200) & F.col("error").isNull()
-    )
-    pages = served.select("scan_id", "path", F.coalesce("body", F.lit("")).alias("html"))
-    return page_facts(pages).select("scan_id", "path", F.col("text_len_body").alias("text_len"))
+    """Linked pages that were served, whatever their path."""
+    links = subpages.subpage_links(d.linked)
+    text_len = F.col("text_len_body")
+    return subpages.fetched_pages(links, d.resources, text_len).withColumnRenamed("page", "text_len")
 
 
 @query("subpage_resolve", "SELECT DISTINCT scan_id, page_type, page_url FROM subs")

@@ -121,22 +121,41 @@ def text_rows(
 
 
 def judged_rows(
-    resources: DataFrame, checks: tuple[Check, ...] = BUILTIN, carry: tuple[str, ...] = ()
+    resources: DataFrame, checks: tuple[Check, ...] = BUILTIN, carry: tuple[str, ...] = (), links: bool = False
 ) -> DataFrame:
     """All resources judged on their own row in one pass, bodies ending here: home, an outcome per text file and
     the code of a probe, each where the path is its own. Resources of other paths belong to no site."""
-    is_home = F.col("path") == HOME_PATH
     wanted = [HOME_PATH, *TEXT_PATHS, *PROBE_PATHS]
+    facts, columns = _one_pass(resources.filter(F.col("path").isin(wanted)), checks, carry, links, _probe_code())
+    code = F.when(F.col("path").isin(PROBE_PATHS), F.col("code")).alias("code")
+    return facts.select("scan_id", "fetched_at", "path", "site_url", *carry, *columns, code)
+
+
+def document_rows(
+    resources: DataFrame, checks: tuple[Check, ...] = BUILTIN, links: bool = True
+) -> DataFrame:
+    """Homepages and text files judged in one pass: (scan_id, fetched_at, home, one outcome per key)."""
+    rows = resources
+    if "kind" in resources.columns:
+        rows = resources.filter(F.col("kind").isin("home", "text"))
+    paths = [TEXT_STAGES[s] for s in TEXT_STAGES if of_stage(checks, s)]
+    facts, columns = _one_pass(rows.filter(F.col("path").isin(HOME_PATH, *paths)), checks, (), links)
+    return facts.select("scan_id", "fetched_at", *columns)
+
+
+def _one_pass(
+    rows: DataFrame, checks: tuple[Check, ...], carry: tuple[str, ...], links: bool, *codes: Column
+) -> tuple[DataFrame, list[Column]]:
+    """Facts of all rows, and the judged homepage and text files as columns of them."""
+    is_home = F.col("path") == HOME_PATH
     # The page is read where there is one: the HTML of other paths is NULL, and so is what is found in it.
     page = [c if name != "html" else F.when(is_home, c).alias("html") for c, name in zip(_fetched_page(), _PAGE_COLUMNS)]
-    rows = resources.filter(F.col("path").isin(wanted)).select(
-        "scan_id", "fetched_at", "path", "site_url", *carry, _probe_code().alias("code"), *page,
+    fetched = rows.select(
+        "scan_id", "fetched_at", "path", "site_url", *carry, *[c.alias("code") for c in codes], *page,
         F.when(F.col("path").isin(TEXT_PATHS), F.col("body")).alias("body"),
     )
-    facts, fields = _home_facts(rows, checks, links=False)
-    home = F.when(is_home, _home(fields, checks)).alias("home")
-    code = F.when(F.col("path").isin(PROBE_PATHS), F.col("code")).alias("code")
-    return facts.select("scan_id", "fetched_at", "path", "site_url", *carry, home, *_text_outcomes(checks), code)
+    facts, fields = _home_facts(fetched, checks, links)
+    return facts, [F.when(is_home, _home(fields, checks)).alias("home"), *_text_outcomes(checks)]
 
 
 _PAGE_COLUMNS = ["url", "status", "error", "final_url", "headers", "html"]
@@ -235,11 +254,10 @@ def assemble(
     The many probe rows aggregate apart from the few document rows: their state
     is all integers and their scan never touches the body column.
     """
-    documents = home_rows(resources, checks, links)
     if any(of_stage(checks, s) for s in TEXT_STAGES):
-        documents = documents.unionByName(
-            text_rows(resources, checks).drop("path"), allowMissingColumns=True
-        )
+        documents = document_rows(resources, checks, links)
+    else:
+        documents = home_rows(resources, checks, links)
     by_scan = documents.groupBy("scan_id").agg(*home_aggs(), *text_aggs(checks))
     sites, extra = by_scan, []
     if failed:

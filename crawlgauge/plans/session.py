@@ -12,8 +12,6 @@ _RESULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     # A repeated JSON key keeps its last value instead of making the document unreadable.
     "spark.sql.variant.allowDuplicateKeys": "true",
-    # Branches of a union keep tasks of their own: one task cannot hold the state stores of two branches.
-    "spark.sql.unionOutputPartitioning": "false",
 }
 
 _PLAN_CONF = {

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crawlgauge.functions.outcomes import API_PATHS, KEY_PATHS, MCP_PATHS
@@ -66,22 +66,61 @@ def fetch_frontier(requests: DataFrame) -> DataFrame:
     return rooted.select("scan_id", "path_idx", "path", target.alias("url"), "timeout_s")
 
 
+def kind_of(path: Column) -> Column:
+    """The kind a resource is stored under."""
+    return (
+        F.when(path == HOME_PATH, "home")
+        .when(path.isin(TEXT_PATHS), "text")
+        .when(path.isin(PROBE_PATHS), "probe")
+        .otherwise("page")
+    )
+
+
 def write_resources(resources: DataFrame, path: str, mode: str = "append") -> None:
     """Store resources so that audits read little: split by kind, clustered by path within files.
 
     Homepages and text files keep their bodies apart from the many small probes,
     whose bodies no check reads.
     """
-    kind = (
-        F.when(F.col("path") == HOME_PATH, "home")
-        .when(F.col("path").isin(TEXT_PATHS), "text")
-        .when(F.col("path").isin(PROBE_PATHS), "probe")
-        .otherwise("page")
-    )
     (
-        resources.withColumn("kind", kind)
+        resources.withColumn("kind", kind_of(F.col("path")))
         .sortWithinPartitions("kind", "path")
         .write.mode(mode)
         .partitionBy("kind")
         .parquet(path)
     )
+
+
+def write_site_table(resources: DataFrame, name: str, path: str, buckets: int) -> None:
+    """Store resources as a catalog table split by kind and bucketed by scan.
+
+    Bodies move once, when they are stored; audits of the table then bring the rows of a scan together without any
+    exchange, as all kinds of a scan lie in the bucket of its id. A bucket should fit a task: about a gigabyte.
+    A scan that was fetched very often makes its bucket larger, never wrong.
+    """
+    (
+        resources.select(*_columns(resources), kind_of(F.col("path")).alias("kind"))
+        .repartition(buckets, "scan_id")
+        .sortWithinPartitions("kind", "scan_id")
+        .write.mode("overwrite")
+        .partitionBy("kind")
+        .bucketBy(buckets, "scan_id")
+        .sortBy("scan_id")
+        .option("path", path)
+        .saveAsTable(name)
+    )
+
+
+def _columns(resources: DataFrame) -> list[str]:
+    return [c.split()[0] for c in schemas.RESOURCES.split(", ") if c.split()[0] in resources.columns]
+
+
+def site_table(spark: SparkSession, name: str, path: str, buckets: int) -> DataFrame:
+    """A table of ``write_site_table``; it is entered into the catalog if another session stored it."""
+    if not spark.catalog.tableExists(name):
+        spark.sql(
+            f"CREATE TABLE {name} ({schemas.RESOURCES}, kind STRING) USING parquet OPTIONS (path '{path}') "
+            f"PARTITIONED BY (kind) CLUSTERED BY (scan_id) SORTED BY (scan_id) INTO {int(buckets)} BUCKETS"
+        )
+        spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
+    return spark.table(name)

@@ -41,6 +41,7 @@ from crawlgauge.sources.tables import HOME_PATH, PROBE_PATHS, TEXT_PATHS
 # The longest time from the start of a scan to the arrival of its last resource.
 SCAN_TIME = "2 hours"
 STARTED = "started_at"
+_UNION = "spark.sql.unionOutputPartitioning"
 _SCAN = ["scan_id", STARTED]
 
 EVENT = (
@@ -193,14 +194,24 @@ def resources_of_sites(resources: DataFrame) -> DataFrame:
 def run_to_sink(
     stream: DataFrame, path: str, checkpoint: str, fmt: str = "parquet", available_now: bool = True
 ):
-    """Append a stream to files, exactly once per checkpoint; processes what is there and stops by default."""
+    """Append a stream to files, exactly once per checkpoint; processes what is there and stops by default.
+
+    Branches of a union keep tasks of their own in the stream: one task cannot hold the state stores of two.
+    """
+    spark = stream.sparkSession
+    before = spark.conf.get(_UNION)
     writer = (
         stream.writeStream.format(fmt)
         .option("path", path)
         .option("checkpointLocation", checkpoint)
         .outputMode("append")
     )
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
+    spark.conf.set(_UNION, "false")
+    try:
+        # The query keeps the settings it starts with.
+        return (writer.trigger(availableNow=True) if available_now else writer).start()
+    finally:
+        spark.conf.set(_UNION, before)
 
 
 __all__ = [

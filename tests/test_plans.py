@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from crawlgauge.operators import audit, compare, reports, scoring, subpages
 from crawlgauge.plans.session import materialize
-from crawlgauge.sources.tables import fetch_frontier, resource_scan, write_resources
+from crawlgauge.sources.tables import fetch_frontier, resource_scan, site_table, write_resources, write_site_table
 from verification import fixtures as fx
 
 
@@ -140,3 +140,25 @@ def test_comparing_starts_no_job(spark, small, tmp_path):
         assert rows.count() > 0 and list(sc.statusTracker().getJobIdsForGroup("no job")) != []
     finally:
         sc.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_score_of_a_bucketed_table_needs_no_exchange(spark, small, tmp_path):
+    res = fx.resources(fx.pages(spark, small)).drop("kind")
+    path = str(tmp_path / "bucketed")
+    write_site_table(res, "bucketed_crawl", path, 4)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    # Tables too large for a broadcast.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        want = {tuple(r) for r in scoring.scan_scores(audit.audit(res)).collect()}
+        for reopened in (False, True):
+            if reopened:
+                spark.sql("DROP TABLE bucketed_crawl")
+            scores = scoring.scan_scores(audit.audit(site_table(spark, "bucketed_crawl", path, 4)))
+            assert exchanged_columns(scores) == [] and "Broadcast" not in plan(scores)
+            assert {tuple(r) for r in scores.collect()} == want
+            errors = audit.scan_errors(audit.assemble(site_table(spark, "bucketed_crawl", path, 4), links=False))
+            assert exchanged_columns(errors) == []
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.sql("DROP TABLE IF EXISTS bucketed_crawl")

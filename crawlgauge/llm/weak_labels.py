@@ -31,7 +31,7 @@ SAMPLE = 8192
 BUCKETS = 1 << 16
 GOOD, BAD, NONE = 1, 0, -1
 # A labeller looks for one fault, so it seldom votes bad on good documents: prior rate of that, and the weight of
-# the prior in corpora.
+# the prior in corpora. At this weight the rate is an assumption that the data hardly move.
 FALSE_ALARM = 0.0005
 PRIOR_WEIGHT = 10.0
 
@@ -204,16 +204,17 @@ def _with_rows():
 def learn(docs: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     """Weights of the scorer, from the votes of all documents and the texts of a bounded sample."""
     names = list(LABELLERS)
-    voted = with_counts(docs.select("text")).select(*votes())
-    # One row per pattern of votes: at most 3 ** labellers.
-    counted = voted.groupBy(*names).count().orderBy(*names).collect()
+    voted = with_counts(docs.select("text")).select(*votes(), F.xxhash64("text").alias("t"), "n_words")
+    # One row per pattern of votes: at most 3 ** labellers. Copies have one pattern, so distinct texts add up.
+    texts = F.approx_count_distinct(F.when(F.col("n_words") > 0, F.col("t")), 0.02)
+    counted = voted.groupBy(*names).agg(F.count("*").alias("count"), texts.alias("texts")).orderBy(*names).collect()
     patterns = np.array([[r[n] for n in names] for r in counted], np.int64).reshape(-1, len(names))
     if not len(patterns):
         return np.zeros(BUCKETS + 1)
     counts = np.array([r["count"] for r in counted], float)
     model = expectation_maximisation(patterns, counts)
     # Copies of a text have one hash; they are drawn together and then count once.
-    share = min(1.0, sample / counts.sum())
+    share = min(1.0, sample / max(1, sum(r["texts"] for r in counted)))
     code = F.xxhash64("text")
     drawn = (
         docs.select("text", code.alias("t"))

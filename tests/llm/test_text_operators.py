@@ -89,6 +89,36 @@ def test_expectation_maximisation_finds_the_accuracies():
     assert abs(np.exp(model.prior[weak_labels.GOOD]) - 0.85) < 0.02
 
 
+def test_expectation_maximisation_equals_enumeration():
+    """One round over counted patterns is that over the documents themselves."""
+    rng = np.random.default_rng(8)
+    rows = rng.choice([weak_labels.NONE, weak_labels.BAD, weak_labels.GOOD], (400, 3), p=[0.3, 0.2, 0.5])
+    patterns, counts = np.unique(rows, axis=0, return_counts=True)
+    for rounds in (1, 2, 7):
+        a = weak_labels.expectation_maximisation(patterns, counts.astype(float), rounds)
+        b = weak_labels.expectation_maximisation(rows, np.ones(400), rounds)
+        assert np.allclose(a.tables, b.tables) and np.allclose(a.prior, b.prior)
+    # Posterior of a pattern by Bayes' rule, vote by vote.
+    for row in patterns:
+        odds = np.exp(a.prior[weak_labels.GOOD] - a.prior[weak_labels.BAD])
+        for j, vote in enumerate(row):
+            odds *= np.exp(a.tables[j, weak_labels.GOOD, vote + 1] - a.tables[j, weak_labels.BAD, vote + 1])
+        assert np.isclose(a.posterior(row[None])[0], odds / (1 + odds))
+
+
+def test_weak_labels_on_copies(spark):
+    """Thousands of copies of few texts: all of them are drawn and junk is not kept."""
+    words = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta"]
+    good = [" ".join(words[(i + k) % 6] for k in range(80)) + f" text {i}." for i in range(8)]
+    junk = ["$$$ ### !!! %%% $$$ " * 12, "1234 5678 #### $$ " * 20]
+    texts = spark.createDataFrame(list(enumerate(good + junk)), "doc_id long, text string")
+    copies = texts.crossJoin(spark.range(3000).select(F.col("id").alias("copy")))
+    judged = weak_labels.classify(copies).groupBy("doc_id").agg(F.min("kept").alias("a"), F.max("kept").alias("b")).collect()
+    assert len(judged) == 10
+    for r in judged:
+        assert r.a == r.b == (r.doc_id < len(good))
+
+
 def test_weak_labels_classify(spark):
     docs, labels = (table(spark, "/root/testdata/sf0.01", t) for t in ("documents", "labels"))
     rows = weak_labels.classify(docs).join(labels, "doc_id").select("kept", "quality").collect()

@@ -18,11 +18,16 @@ from crawlgauge.llm.common import arrow_batches, materialize, table
 SHINGLE, NUM, DEN = 5, 80, 100
 
 
+def _whole(docs: DataFrame) -> DataFrame:
+    """doc_id and text, and the whole row as one struct, which no column of an operator can clash with."""
+    return docs.select("doc_id", "text", F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("_row"))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and the decision list learned from the labels."""
     arrow_batches(spark)
     rules = decision_list.learn_from(docs, table(spark, sf_dir, "labels"))
-    return decision_list.judge(docs, rules).filter("kept").select(*docs.columns)
+    return decision_list.judge(_whole(docs), rules).filter("kept").select("_row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,15 +38,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by the benchmark."""
-    judged = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return judged.filter(~F.col("contaminated")).select(*docs.columns)
+    judged = decontaminate.contamination(_whole(docs), table(spark, sf_dir, "benchmark"))
+    return judged.filter(~F.col("contaminated")).select("_row.*")
 
 
 def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with personal data and credentials replaced by their kinds; n_chars follows the text."""
     arrow_batches(spark)
     redacted = docs.withColumn("text", pii_crf.redact(F.col("text")))
-    return redacted.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        redacted = redacted.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return redacted
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

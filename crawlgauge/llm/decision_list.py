@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crawlgauge.llm.common import word_codes
+from crawlgauge.llm.common import materialize, word_codes
 
 # Labelled rows that a list is learned from, at most.
 SAMPLE = 20_000
@@ -243,8 +243,9 @@ def labelled_counts(docs: DataFrame, labels: DataFrame, target: str = "quality",
         .limit(sample)
         .select("doc_id", (F.col(target) == 0).alias("bad"))
     )
-    # At most ``sample`` rows, so they may be sent to every task.
-    joined = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+    # At most ``sample`` rows, so they may be sent to every task. Stored: a filter on counts would else be pushed below
+    # the join, and all texts be counted for it.
+    joined = materialize(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id"), "labelled")
     counted = with_counts(joined).filter(~base_failed())
     return counted.select("doc_id", "bad", *(c.alias(f"f_{k}") for k, c in features().items()))
 

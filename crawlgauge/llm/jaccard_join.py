@@ -11,10 +11,15 @@ distinct sets (classes) and never lists the pairs of a group:
 2. Groups. Of the smallest classes of its tokens, each class points to the one it shares most tokens with; the trees
    of these pointers hold similar classes and are cut by hash into groups of bounded size.
 3. Matrix. Row token, column group, set where a member has the token: a column is the token union of its
-   group. Two groups without a common row have no link between them and stay closed.
-4. Opened groups. Members in different components are compared by parity sketches: the number of differing
-   bits never exceeds the number of differing shingles, so a pair above the bound is no link. What is left
-   is verified on the shingles themselves: first the closest pair of each member and component, then the rest.
+   group. A cell holds the smallest and the largest component of these members. A row whose cells hold one
+   component only is done. Linked sets share not one token but a number that follows from their sizes: a member
+   has a link into a group only if that many of its tokens have there a member of another component. Groups are
+   opened for such members only; a passage that many texts share gives too few tokens, and a large family opens
+   nothing once it is one component.
+4. Opened groups. The members let in, if in different components, are compared by parity sketches: the number of
+   differing bits never exceeds the number of differing shingles, so a pair above the bound is no link. What is
+   left is verified on the shingles themselves: first the closest pair of each member and component, then, with
+   the components and the matrix as they are by then, the rest.
 
 Defined cases: null and empty texts have an empty set and link with nothing, not even with each other; a text
 with fewer than SHINGLE words has its whole sequence as its only shingle; equal texts and repeated rows are
@@ -43,6 +48,8 @@ NUM, DEN = 90, 100
 GROUP = 512
 # Rows of a table that may be sent to every task; a row has under 50 bytes.
 BROADCAST_ROWS = 400_000
+# Classes of which a task remembers that it gave their tokens.
+REMEMBERED = 500_000
 
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
@@ -123,6 +130,24 @@ def parts_of(bucket: int, num: int = NUM, den: int = DEN) -> tuple[int, int]:
     return filled + math.ceil(2 * filled * math.exp(-bounds[max(0, bucket - 1)] / filled)), filled
 
 
+@lru_cache(maxsize=1 << 16)
+def tokens_needed(n: int, num: int = NUM, den: int = DEN) -> int:
+    """Tokens that a set of ``n`` shingles shares with any set it links with, at least.
+
+    Under a scheme that both speak they share as many as must be filled, less the shingles that differ. A partner
+    is in the bucket below (the own scheme is common), in the same one (both schemes are) or in the one above.
+    """
+    bounds, own = _bounds(num, den), bucket_of(n, num, den)
+    here, above = parts_of(own, num, den)[1], parts_of(own + 1, num, den)[1]
+    longest, top = n * den // num, bounds[own + 1] - 1
+    shared = [here + above - 2 * allowed(n + min(longest, top), num, den)]
+    if n * num <= (bounds[own] - 1) * den:
+        shared.append(here - allowed(n + bounds[own] - 1, num, den))
+    if longest > top:
+        shared.append(above - allowed(n + longest, num, den))
+    return max(1, min(shared))
+
+
 def tokens_of(tokens: np.ndarray, num: int = NUM, den: int = DEN) -> np.ndarray:
     """Digests of the non-empty parts under the scheme of the own and of the next bucket."""
     if not len(tokens):
@@ -191,8 +216,9 @@ def _members(num: int, den: int, size: int):
                     pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([sketch_of(s, num, den) if len(s) else None for s in sets], pa.binary()),
+                    pa.array([tokens_needed(len(s), num, den) if len(s) else None for s in sets], pa.int64()),
                 ],
-                ["doc_id", "text_hash", "cls", "n_shingles", "sketch"],
+                ["doc_id", "text_hash", "cls", "n_shingles", "sketch", "needed"],
             )
 
     return run
@@ -205,6 +231,8 @@ def _class_tokens(num: int, den: int, size: int):
         for batch in batches:
             sets = {class_of(s): s for s in shingle_sets(batch.column("text"), size) if len(s)}
             sets = {c: s for c, s in sets.items() if c not in seen}
+            if len(seen) > REMEMBERED:
+                seen.clear()
             seen.update(sets)
             tokens = [tokens_of(s, num, den) for s in sets.values()]
             if tokens:
@@ -318,6 +346,30 @@ def _sets_for(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int)
     return materialize(own.groupBy("cls").agg(F.first("shingles").alias("shingles")), "class-sets")
 
 
+def _undone(rows: DataFrame, comp: DataFrame) -> DataFrame:
+    """(token, cls, g, comp) of the tokens whose classes are in more than one component."""
+    now = rows.select("token", "cls", "g").join(_sized(comp), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    bounds = now.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    open_tokens = materialize(bounds.filter("lo < hi").select("token"), "open-tokens")
+    return now.join(_sized(open_tokens), "token", "left_semi")
+
+
+def _let_in(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """(cls, comp, g, h, n, sketch): members of g that may have a link into h, as bounded by their tokens there."""
+    cells = rows.groupBy("token", F.col("g").alias("h")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    overlap = (
+        rows.join(cells, "token")
+        .filter((F.col("lo") != F.col("comp")) | (F.col("hi") != F.col("comp")))
+        .groupBy("cls", "comp", "g", "h")
+        .agg(F.count("*").alias("shared"))
+    )
+    let_in = overlap.join(classes.select("cls", "n", "needed"), "cls").filter("shared >= needed")
+    let_in = materialize(let_in.select("cls", "comp", "g", "h", "n"), "let-in")
+    # A link needs members let in on both sides.
+    back = let_in.select(F.col("h").alias("g"), F.col("g").alias("h")).distinct()
+    return let_in.join(back, ["g", "h"], "left_semi").join(classes.select("cls", "sketch"), "cls")
+
+
 def _open_groups(num: int, den: int, nearest: bool):
     """Pairs of members, one of each group, that may link and are in different components.
 
@@ -369,14 +421,19 @@ def near_duplicates(
     docs = docs.select("doc_id", "text")
     members = materialize(
         docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(
-            _members(num, den, size), "doc_id long, text_hash long, cls long, n_shingles long, sketch binary"
+            _members(num, den, size), "doc_id long, text_hash long, cls long, n_shingles long, sketch binary, needed long"
         ),
         "members",
     )
     classes = materialize(
         members.filter("cls IS NOT NULL")
         .groupBy("cls")
-        .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")),
+        .agg(
+            F.min("doc_id").alias("doc_id"),
+            F.first("n_shingles").alias("n"),
+            F.first("sketch").alias("sketch"),
+            F.first("needed").alias("needed"),
+        ),
         "classes",
     )
 
@@ -415,34 +472,32 @@ def near_duplicates(
         .join(trees.withColumnRenamed("node", "cls"), "cls", "left")
         .withColumn("root", F.coalesce("root", "cls"))
     )
-    counts = placed.groupBy("root").agg(F.ceil(F.count("*") / group).alias("slices"))
+    # Trees of more than one group are few; all others are one slice.
+    slices = placed.groupBy("root").agg(F.ceil(F.count("*") / group).alias("slices")).filter("slices > 1")
+    slices = _sized(materialize(slices, "slices"))
     placed = materialize(
-        placed.join(counts, "root").select(
-            "cls", F.xxhash64("root", F.pmod(F.xxhash64("cls"), F.col("slices"))).alias("g")
+        placed.join(slices, "root", "left").select(
+            "cls",
+            F.xxhash64("root", F.pmod(F.xxhash64("cls"), F.coalesce("slices", F.lit(1).cast("long")))).alias("g"),
         ),
         "groups",
     )
-    matrix = materialize(shared.select("token", "cls").join(placed, "cls").select("token", "g").distinct(), "matrix")
-    other = matrix.select("token", F.col("g").alias("h"))
-    across = materialize(matrix.join(other, "token").filter("g < h").select("g", "h").distinct(), "open-groups")
+    rows = materialize(shared.select("token", "cls").join(placed, "cls"), "matrix")
 
     # First only the closest pairs between components, then, when most of them have merged, all that are left.
     links = first_links
     for nearest_only in (True, False):
-        comp = components(links).select(F.col("node").alias("cls"), F.col("root").alias("comp"))
-        member = F.struct("cls", F.coalesce("comp", "cls").alias("comp"), "n", "sketch")
-        columns = materialize(
-            placed.join(classes, "cls")
-            .join(comp, "cls", "left")
-            .groupBy("g")
-            .agg(F.collect_list(member).alias("members"), F.count_distinct(F.coalesce("comp", "cls")).alias("n_comp")),
-            "group-members",
-        )
-        within = columns.filter("n_comp > 1").select("g", F.col("g").alias("h"))
+        comp = materialize(components(links).select(F.col("node").alias("cls"), F.col("root").alias("comp")), "components")
+        rows = materialize(_undone(rows, comp), "undone")
+        member = F.struct("cls", "comp", "n", "sketch")
         opened = (
-            across.unionByName(within)
-            .join(columns.select("g", F.col("members").alias("left")), "g")
-            .join(columns.select(F.col("g").alias("h"), F.col("members").alias("right")), "h")
+            _let_in(rows, classes)
+            .groupBy(F.least("g", "h").alias("lo"), F.greatest("g", "h").alias("hi"))
+            .agg(
+                F.collect_list(F.when(F.col("g") <= F.col("h"), member)).alias("left"),
+                F.collect_list(F.when(F.col("g") >= F.col("h"), member)).alias("right"),
+            )
+            .select("left", "right")
         )
         candidates = materialize(
             opened.mapInArrow(_open_groups(num, den, nearest_only), "a long, b long").distinct(), "candidates"
@@ -452,11 +507,20 @@ def near_duplicates(
     final = components(links)
 
     # The smallest document of every component, for all members of its classes.
-    joined = classes.join(final.withColumnRenamed("node", "cls"), "cls", "left").withColumn(
-        "root", F.coalesce("root", "cls")
+    linked = final.select(F.col("node").alias("cls"), "root")
+    linked = linked.unionByName(linked.select(F.col("root").alias("cls"), "root").distinct()).distinct()
+    joined = materialize(classes.select("cls", "doc_id").join(linked, "cls", "left"), "rooted-classes")
+    # Stored, so that a join by a root with many classes can be split; classes without links need no join.
+    of_root = joined.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    of_root = _sized(materialize(of_root, "smallest"))
+    labels = (
+        joined.filter("root IS NOT NULL")
+        .join(of_root, "root")
+        .select("cls", "root", "component_id")
+        .unionByName(
+            joined.filter("root IS NULL").select("cls", F.col("cls").alias("root"), F.col("doc_id").alias("component_id"))
+        )
     )
-    smallest = joined.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    labels = joined.select("cls", "root").join(smallest, "root")
     return members.join(labels, "cls", "left").select(
         "doc_id",
         "n_shingles",
@@ -477,11 +541,12 @@ def one_of_each(docs: DataFrame, num: int = NUM, den: int = DEN, size: int = SHI
     best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash", "copies"))
     firsts = rows.filter("component IS NOT NULL").groupBy("component").agg(best.alias("m")).select("m.*")
     empty = rows.filter("component IS NULL").withColumn("copies", F.lit(1).cast("long"))
-    columns = [F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th"), "copies"]
+    columns = [F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th"), F.col("copies").alias("_copies")]
     kept = _sized(materialize(firsts.select(*columns).unionByName(empty.select(*columns)), "first-rows"))
-    joined = docs.join(
-        kept, docs["doc_id"].eqNullSafe(kept["_id"]) & (F.xxhash64(docs["text"]) == kept["_th"]), "inner"
-    )
-    single = joined.filter("copies = 1").select(*docs.columns)
-    copies = joined.filter("copies > 1").groupBy("_id", "_th").agg(F.min(F.struct(*docs.columns)).alias("d"))
-    return single.unionByName(copies.select("d.*"))
+    # Whole rows as one struct: no column of theirs can clash with the names used here.
+    whole = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("_row"))
+    own = F.col("_row.doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("_row.text") == F.col("_th"))
+    joined = whole.join(kept, own, "inner")
+    single = joined.filter("_copies = 1").select("_row")
+    copies = joined.filter("_copies > 1").groupBy("_id", "_th").agg(F.min("_row").alias("_row"))
+    return single.unionByName(copies.select("_row")).select("_row.*")

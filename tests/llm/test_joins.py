@@ -1,6 +1,7 @@
 import random
 
 import duckdb
+import numpy as np
 from plain import ODD, components, contamination, lm_scores, odd_frame, shingles
 from pyspark.sql import functions as F
 
@@ -33,8 +34,6 @@ def test_scores_use_two_words_of_context(spark):
 
 
 def test_hashes_pack_and_unpack():
-    import numpy as np
-
     keys = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 1000).astype(np.uint64))
     assert (lm.unpack(lm.pack(keys)) == keys).all() and len(lm.unpack(lm.pack(keys[:0]))) == 0
 
@@ -117,6 +116,23 @@ def test_jaccard_components_equal_a_plain_join(spark):
         assert kept.columns == odd_frame(spark, rows).columns
 
 
+def test_linked_sets_share_the_tokens_they_need():
+    rng = np.random.default_rng(5)
+    for num, den in ((90, 100), (80, 100)):
+        for n in [*range(1, 60), *rng.integers(60, 1500, 60).tolist()]:
+            a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+            for gone in {0, len(a) * (den - num) // den, int(rng.integers(0, len(a) // 8 + 1))}:
+                rest = len(a) - gone
+                # As many new shingles as the threshold allows.
+                new = max(0, rest * den // num - len(a))
+                b = np.unique(np.concatenate([a[gone:], rng.integers(0, 1 << 63, new).astype(np.uint64)]))
+                shared = np.intersect1d(a, b).size
+                if den * shared < num * (len(a) + len(b) - shared):
+                    continue
+                common = np.intersect1d(jaccard_join.tokens_of(a, num, den), jaccard_join.tokens_of(b, num, den)).size
+                assert common >= max(jaccard_join.tokens_needed(len(x), num, den) for x in (a, b))
+
+
 def test_jaccard_without_documents_and_without_ids(spark):
     assert jaccard_join.near_duplicates(odd_frame(spark, [])).count() == 0
     rows = [(None, "a b c d"), (None, "a b c d"), (7, "a b c d"), (None, "q r s")]

@@ -1,5 +1,6 @@
 import tiktoken  # noqa: F401
 from plain import components, contamination, text_counts
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from crawlgauge.llm import bpe, decision_list, pii_crf
@@ -40,3 +41,27 @@ def test_stages_keep_the_columns_of_documents(spark, small):
         out = stage(spark, docs, small)
         assert out.columns == docs.columns and out.count() == 0
     assert [n for n, _ in corpus_pipeline.STAGES][-1] == "byte_bpe"
+
+
+def test_stages_keep_columns_with_names_of_their_own(spark, small):
+    given = table(spark, small, "documents").limit(30)
+    long = " ".join(f"word{i}" for i in range(40_000))
+    odd = [(None, None), (None, ""), (7_000_001, long), (7_000_002, long), (7_000_002, long), (None, long)]
+    odd = spark.createDataFrame(odd, "doc_id long, text string")
+    docs = given.unionByName(odd, allowMissingColumns=True).unionByName(given.limit(3))
+    names = ["n_words", "kept", "copies", "contaminated", "items", "_k1", "_id", "cls"]
+    docs = docs.withColumns({c: F.lit(f"own {c}") for c in names})
+    rows = docs.count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, small)
+        assert out.columns == docs.columns
+        found = out.select("doc_id", "text", *names).collect()
+        assert all(r[c] == f"own {c}" for r in found for c in names)
+        if name == "ngram_jaccard_join":
+            # Texts without words all stay; of the long ones the smallest id.
+            assert [r.doc_id for r in found if r.text == long] == [7_000_001]
+            assert len([r for r in found if not r.text]) == 2
+        elif name in ("benchmark_decontamination", "pii"):
+            assert len([r for r in found if r.text == long]) == 4
+            assert name != "pii" or len(found) == rows
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, small).count() == rows

@@ -4,7 +4,8 @@ The CRF reads word-shape features of pieces (runs of letters, digits and inner p
 characters) and is trained here from the small labelled table below. It scores every word that holds a digit, '@' or
 '=', every word with a long run of ASCII letters, and every word that names a credential or closely follows one that
 does. The table has no span in other words: they are outside and cut a text into short runs of pieces, and Viterbi
-decodes all runs of an Arrow batch together in numpy. Pattern spans always stay; a CRF span that touches one is dropped.
+decodes all runs of an Arrow batch together in numpy. Pattern spans always stay; a CRF span that touches one is dropped,
+and so is one with more digits than its kind can have.
 
 Offsets count code points, ends are exclusive. Defined cases: null and empty texts have no spans; a text that is one
 long run is decoded whole; equal texts have equal spans; equal scores take the first label; columns are never read by
@@ -16,9 +17,11 @@ from __future__ import annotations
 import random
 import re
 import string
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -341,6 +344,21 @@ def labelled_table(rows: int = 2000, seed: int = 11) -> list[tuple[str, list[Spa
         lambda: f"===== {word()} =====", lambda: f"{word()} @ {n(1, 99)}", lambda: f"{n(1, 99)}x{n(1, 99)}",
     ]
     ends = ["", "", "", ".", ",", "***", "%%%", ")", ";"]
+
+    def listed() -> tuple[str, list[Span]]:
+        """Many look-alikes in a row, of one form or of several, with or without a span among them."""
+        form, size, gap = rng.choice((None, rng.choice(others))), rng.randint(2, 8), rng.choice((" ", " ", ", "))
+        values = [("none", (form or rng.choice(others))()) for _ in range(size)]
+        if rng.random() < 0.6:
+            kind = rng.choice(KINDS)
+            values[rng.randrange(size)] = (kind, rng.choice(forms[kind])())
+        text, spans = "", []
+        for kind, value in values:
+            if kind != "none":
+                spans.append((kind, len(text), len(text) + len(value)))
+            text += value + gap
+        return text + word(), spans
+
     table = []
     for _ in range(rows):
         kind = rng.choice([*KINDS, "secret", "none", "none", "none", "none"])
@@ -357,7 +375,7 @@ def labelled_table(rows: int = 2000, seed: int = 11) -> list[tuple[str, list[Spa
         start = len(text) + frame.index("%s")
         text += frame.replace("%s", value) + rng.choice(ends) + " " + word()
         table.append((text, [] if kind == "none" else [(kind, start, start + len(value))]))
-    return table
+    return table + [listed() for _ in range(rows // 8)]
 
 
 # --- the model --------------------------------------------------------------------------------
@@ -476,6 +494,15 @@ def viterbi(scores: np.ndarray, model: Crf) -> np.ndarray:
     return labels
 
 
+def _scores(run: Run, model: Crf) -> np.ndarray:
+    """(pieces, labels): weights of all features of each piece, added up one feature at a time."""
+    rows = _rows(run, model.index, max(map(len, run.features)))
+    scores = np.zeros((len(run.pieces), len(LABELS)))
+    for feature in rows.T:
+        scores += model.weights[feature]
+    return scores
+
+
 def crf_spans(texts: list[str], model: Crf) -> list[list[Span]]:
     """Spans the CRF finds in each text; runs of one length are decoded together."""
     by_length: dict[int, list[tuple[int, Run]]] = {}
@@ -483,14 +510,17 @@ def crf_spans(texts: list[str], model: Crf) -> list[list[Span]]:
         for run in runs_of(text):
             by_length.setdefault(len(run.pieces), []).append((i, run))
     out: list[list[Span]] = [[] for _ in texts]
-    width = 24
     for own in by_length.values():
-        scores = np.stack([model.weights[_rows(run, model.index, width)].sum(axis=1) for _, run in own])
+        scores = np.stack([_scores(run, model) for _, run in own])
         for (i, run), labels in zip(own, viterbi(scores, model).tolist(), strict=True):
             out[i] += _labelled_spans(texts[i], run, labels)
     return out
 
 
+# Digits that a value of a kind can have at most; more are a list of numbers.
+MOST_DIGITS = {"ip": 12, "card": 19, "phone": 15}
+
+
 def _labelled_spans(text: str, run: Run, labels: list[int]) -> list[Span]:
     spans: list[Span] = []
     for (start, end), label in zip(run.pieces, labels, strict=True):
@@ -503,7 +533,7 @@ def _labelled_spans(text: str, run: Run, labels: list[int]) -> list[Span]:
     for kind, start, end in spans:
         while end > start and text[end - 1] in _TRIM:
             end -= 1
-        if end > start:
+        if end > start and sum(map(str.isdigit, text[start:end])) <= MOST_DIGITS.get(kind, end):
             trimmed.append((kind, start, end))
     return trimmed
 
@@ -513,7 +543,9 @@ def all_spans(texts: list[str], model: Crf) -> list[list[tuple[str, int, int, bo
     out = []
     for text, added in zip(texts, crf_spans(texts, model), strict=True):
         base = pattern_spans(text)
-        free = [s for s in added if not any(s[1] < b[2] and b[1] < s[2] for b in base)]
+        # Base spans are sorted by start; the furthest end up to each tells whether one reaches into a place.
+        starts, ends = [b[1] for b in base], list(accumulate((b[2] for b in base), max))
+        free = [s for s in added if not (n := bisect_left(starts, s[2])) or ends[n - 1] <= s[1]]
         both = [(*s, True) for s in base] + [(*s, False) for s in free]
         out.append(sorted(both, key=lambda s: _order(s[:3])))
     return out

@@ -1,5 +1,6 @@
 import base64
 import html
+import itertools
 import random
 import re
 
@@ -228,6 +229,51 @@ def test_crf_on_held_out_rows():
         pii_crf.all_spans([text], model)
 
 
+def test_lists_of_numbered_words_are_no_personal_data():
+    model = pii_crf.default_model()
+    rng = random.Random(7)
+    texts = [
+        " ".join(f"word{i}" for i in range(40_000)), " ".join(f"w{rng.randrange(999)}" for _ in range(300)),
+        " ".join(f"item{i}," for i in range(200)), " ".join(f"{rng.randrange(10)}x{rng.randrange(99)}" for _ in range(200)),
+        " ".join(f"col_{i}={i}" for i in range(200)), " ".join(str(y) for y in range(1900, 2030)),
+    ]
+    assert pii_crf.all_spans(texts, model) == [[]] * len(texts)
+    # Values between numbered words are still found.
+    text = " ".join(f"row{i}" for i in range(20)) + " (415) 555-0134 " + " ".join(f"row{i}" for i in range(20))
+    assert [(k, text[a:b]) for k, a, b, _ in pii_crf.all_spans([text], model)[0]] == [("phone", "(415) 555-0134")]
+
+
+def test_viterbi_and_training_equal_enumeration():
+    rng = np.random.default_rng(6)
+    size = len(pii_crf.LABELS)
+    hard_moves, hard_first = pii_crf._constraints()
+    moves, first = rng.normal(size=(size, size)) + hard_moves, rng.normal(size=size) + hard_first
+    model = pii_crf.Crf({}, np.zeros((1, size)), moves, first)
+    for n in (1, 2, 3):
+        scores = rng.normal(size=(5, n, size)) * 2
+        got = pii_crf.viterbi(scores, model)
+        for run in range(5):
+            paths = list(itertools.product(range(size), repeat=n))
+            value = [
+                first[p[0]] + sum(scores[run, t, p[t]] for t in range(n)) + sum(moves[a, b] for a, b in itertools.pairwise(p))
+                for p in paths
+            ]
+            assert tuple(got[run]) == paths[int(np.argmax(value))]
+
+
+def test_base_spans_and_added_spans_never_touch():
+    model = pii_crf.default_model()
+    text = " ".join(f"a{i}@b.org 10.0.0.{i % 256} (415) 555-{i:04} 4111 1111 1111 1111" for i in range(3000))
+    spans = pii_crf.all_spans([text], model)[0]
+    base = [s for s in spans if s[3]]
+    added = [s for s in spans if not s[3]]
+    assert [s[:3] for s in base] == pii_crf.pattern_spans(text)
+    covered = np.zeros(len(text), bool)
+    for _, a, b, _ in base:
+        covered[a:b] = True
+    assert not any(covered[a:b].any() for _, a, b, _ in added)
+
+
 def test_secrets_of_letters_only():
     model = pii_crf.default_model()
     held = {

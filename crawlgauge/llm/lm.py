@@ -6,11 +6,12 @@ P(w) = (c(w) + 0.5) / (N + 0.5 * (V + 1)). As an automaton, every counted contex
 n-gram is an arc with its probability; without such an arc the failure arc leads to the state of the shorter
 context at the price mass / (c(context) + mass). One traversal from left to right carries the state.
 
-Distribution. Documents are dealt by hash into blocks of bounded size. Each block sends its distinct n-grams,
-hashed, sorted and cut into slices of the hash range, to the tasks of the slices; these add up the counts
-of all blocks and send back totals in the same order, without the hashes. A block thereby knows every
-count it can meet and builds the part of the automaton that its documents can reach. No task holds the
-whole model, and what is shuffled grows with the corpus.
+Distribution. Each scan task cuts its documents into blocks of bounded size, stored compressed, one row each. Each
+block sends its distinct n-grams, hashed, sorted and cut into slices of the hash range, to the tasks of the slices;
+these add up the counts of all blocks and send back, in the same order and without the hashes, what the other blocks
+counted. A block thereby knows every count it can meet; its parts, one after the other, build the piece of the
+automaton that their documents can reach. No task holds the whole model, and what is shuffled grows with the corpus.
+The number of slices grows with the square root of that of the blocks, so the rows sent grow with its power of 1.5.
 
 Words are [^\\x20\\x09-\\x0D]+ after lower-casing A-Z; each text ends with one end token. Defined cases: null and
 empty texts are one end token; unknown words cost the root's default; repeated rows count as often as
@@ -20,10 +21,13 @@ token has the same probability. N-grams are told apart by 64-bit hashes.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,8 +37,10 @@ from crawlgauge.llm.common import materialize, word_codes
 ORDER = 3
 # Weight of the shorter context, in tokens.
 MASS = 300.0
-# Bytes of text in a block and in a slice of the hash range, on average.
-BLOCK_BYTES = 8 << 20
+# Bytes of text in a block, and in each of its parts; a longer text is a part of its own.
+BLOCK_BYTES, PART_BYTES = 32 << 20, 4 << 20
+# Slices of the hash range for one block.
+SLICES = 16
 # Tokens of one lane of the traversal; results do not depend on it.
 LANE = 512
 
@@ -99,73 +105,164 @@ def read_block(texts: pa.Array, trained: np.ndarray, order: int) -> Block:
 def distinct_grams(block: Block, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct hashes of (k + 1)-grams that end at real tokens, and their training counts here."""
     mask = block.real & (block.grams[k] != 0)
-    keys, inverse = np.unique(block.grams[k][mask], return_inverse=True)
-    return keys, np.bincount(inverse, weights=block.trained[mask], minlength=len(keys)).astype(np.int64)
+    keys = np.unique(block.grams[k][mask])
+    counts = np.zeros(len(keys), np.int64)
+    trained, times = np.unique(block.grams[k][mask & block.trained], return_counts=True)
+    counts[np.searchsorted(keys, trained)] = times
+    return keys, counts
+
+
+def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes of several parts, and the sums of their counts."""
+    keys = np.unique(np.concatenate([k for k, _ in parts]))
+    counts = np.zeros(len(keys), np.int64)
+    for own, times in parts:
+        counts[np.searchsorted(keys, own)] += times
+    return keys, counts
 
 
 def pack(keys: np.ndarray) -> bytes:
-    """Sorted hashes as differences, in as many bytes each as the largest needs."""
+    """Sorted hashes as differences, in as many bytes each as the largest needs, byte by byte and compressed."""
     steps = np.diff(keys, prepend=np.uint64(0))
     width = max(1, (int(steps.max()).bit_length() + 7) // 8) if len(keys) else 1
-    planes = steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
-    return bytes([width]) + planes.tobytes()
+    planes = np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return len(keys).to_bytes(8, "little") + bytes([width]) + _ZSTD.compress(planes, asbytes=True)
 
 
 def unpack(packed: bytes) -> np.ndarray:
-    width = packed[0]
-    planes = np.frombuffer(packed, np.uint8, offset=1).reshape(-1, width)
-    full = np.zeros((len(planes), 8), np.uint8)
-    full[:, :width] = planes
+    n, width = int.from_bytes(packed[:8], "little"), packed[8]
+    planes = np.frombuffer(_ZSTD.decompress(packed[9:], n * width, asbytes=True), np.uint8).reshape(width, n)
+    full = np.zeros((n, 8), np.uint8)
+    full[:, :width] = planes.T
     return np.cumsum(full.reshape(-1).view("<u8"), dtype=np.uint64)
 
 
-def _counts_of_block(order: int, slice_bits: int):
-    """(ord, slice, block, keys, counts) of one block: a row per slice that its n-grams fall in."""
+def pack_counts(counts: np.ndarray) -> bytes:
+    """Counts in a byte each; those of 255 and more follow in full. Nearly all are 0 or 1, which compression uses."""
+    large = counts[counts >= 255].astype("<i8")
+    raw = np.minimum(counts, 255).astype(np.uint8).tobytes() + large.tobytes()
+    return len(counts).to_bytes(8, "little") + len(large).to_bytes(8, "little") + _ZSTD.compress(raw, asbytes=True)
 
-    def run(group: pa.Table) -> pa.Table:
-        docs = group.combine_chunks()
-        block = read_block(docs["text"].combine_chunks(), ~docs["held_out"].to_numpy(), order)
-        number = docs["block"][0].as_py()
-        rows: dict[str, list] = {"ord": [], "slice": [], "block": [], "keys": [], "counts": []}
-        for k in range(order):
-            keys, counts = distinct_grams(block, k)
-            slices = (keys >> np.uint64(64 - slice_bits)).astype(np.int64) if slice_bits else np.zeros(len(keys), int)
-            numbers, starts = np.unique(slices, return_index=True)
-            for s, a, b in zip(numbers, starts, [*starts[1:], len(keys)], strict=True):
-                rows["ord"].append(k)
-                rows["slice"].append(int(s))
-                rows["block"].append(number)
-                # The slice number stands for the upper bits.
-                rows["keys"].append(pack(keys[a:b] - (np.uint64(s) << np.uint64(64 - slice_bits) if slice_bits else 0)))
-                rows["counts"].append(counts[a:b].astype("<u4").tobytes())
-        return pa.table(rows, schema=_arrow(_COUNTS))
 
-    return run
+def unpack_counts(packed: bytes) -> np.ndarray:
+    n, large = int.from_bytes(packed[:8], "little"), int.from_bytes(packed[8:16], "little")
+    raw = _ZSTD.decompress(packed[16:], n + 8 * large, asbytes=True)
+    counts = np.frombuffer(raw, np.uint8, n).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(raw, "<i8", large, n)
+    return counts
 
 
+_ZSTD = pa.Codec("zstd")
+_BLOCKS = "block long, parts array<binary>"
 _COUNTS = "ord int, slice long, block long, keys binary, counts binary"
-_TOTALS = "ord int, slice long, block long, totals binary, n_distinct long, n_total long"
+_TOTALS = "ord int, slice long, block long, others binary, n_distinct long, n_total long"
 _TYPES = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_()}
+_TYPES["array<binary>"] = pa.list_(pa.binary())
 
 
 def _arrow(schema: str) -> pa.Schema:
     return pa.schema([(name, _TYPES[kind]) for name, kind in (f.split() for f in schema.split(", "))])
 
 
+def _stored(docs: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, docs.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 5))) as out:
+        out.write_table(docs)
+    return sink.getvalue().to_pybytes()
+
+
+def _part(stored: bytes, order: int) -> tuple[pa.Table, Block]:
+    docs = pa.ipc.open_stream(stored).read_all().combine_chunks()
+    text = docs["text"].combine_chunks() if docs.num_rows else pa.array([], pa.string())
+    return docs, read_block(text, ~docs["held_out"].to_numpy(), order)
+
+
+def _cut_into_blocks(block_bytes: int, part_bytes: int):
+    """(block, parts) of the documents of a scan task, in their order; a block's number holds that of the task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, size, parts, rows, held = 0, 0, [], [], 0
+
+        def block() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"block": [number], "parts": [parts]}, schema=_arrow(_BLOCKS))
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # At most 2^31 tasks and as many blocks of each.
+            number = number or int(batch.column("task")[0].as_py()) << 32
+            docs = pa.Table.from_batches([batch.select(["doc_id", "held_out", "text"])])
+            ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
+            at, before = 0, 0
+            while at < batch.num_rows:
+                # One row at least, then as many as fit.
+                end = max(at + 1, int(np.searchsorted(ends, before + part_bytes - held, side="right")))
+                rows.append(docs.slice(at, end - at))
+                held += int(ends[end - 1]) - before
+                at, before = end, int(ends[end - 1])
+                if at < batch.num_rows or held >= part_bytes:
+                    parts.append(_stored(pa.concat_tables(rows)))
+                    size, rows, held = size + held, [], 0
+                    if size >= block_bytes:
+                        yield block()
+                        number, size, parts = number + 1, 0, []
+        if rows:
+            parts.append(_stored(pa.concat_tables(rows)))
+        if parts:
+            yield block()
+
+    return run
+
+
+def _counts_of_blocks(order: int, slice_bits: int):
+    """(ord, slice, block, keys, counts) of every block: a row per slice that its n-grams fall in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, parts in zip(batch.column("block").to_pylist(), batch.column("parts"), strict=True):
+                found: list[list] = [[] for _ in range(order)]
+                for stored in parts:
+                    _, part = _part(stored.as_py(), order)
+                    for k in range(order):
+                        found[k].append(distinct_grams(part, k))
+                for k in range(order):
+                    yield _sliced(k, number, *merged(found[k]), slice_bits)
+                    found[k] = []
+
+    return run
+
+
+def _sliced(k: int, number: int, keys: np.ndarray, counts: np.ndarray, slice_bits: int) -> pa.RecordBatch:
+    rows: dict[str, list] = {"ord": [], "slice": [], "block": [], "keys": [], "counts": []}
+    slices = (keys >> np.uint64(64 - slice_bits)).astype(np.int64) if slice_bits else np.zeros(len(keys), int)
+    numbers, starts = np.unique(slices, return_index=True)
+    for s, a, b in zip(numbers, starts, [*starts[1:], len(keys)], strict=True):
+        rows["ord"].append(k)
+        rows["slice"].append(int(s))
+        rows["block"].append(number)
+        # The slice number stands for the upper bits.
+        rows["keys"].append(pack(keys[a:b] - (np.uint64(s) << np.uint64(64 - slice_bits) if slice_bits else 0)))
+        rows["counts"].append(pack_counts(counts[a:b]))
+    return pa.RecordBatch.from_pydict(rows, schema=_arrow(_COUNTS))
+
+
 def _totals_of_slice(group: pa.Table) -> pa.Table:
-    """Totals of one slice, aligned with the keys of each block, and how many keys were trained."""
+    """What the other blocks counted, aligned with the keys of each block; how many keys of the slice were trained."""
     keys = [unpack(k) for k in group["keys"].to_pylist()]
-    counts = [np.frombuffer(c, "<u4") for c in group["counts"].to_pylist()]
-    distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    totals = np.bincount(inverse, weights=np.concatenate(counts), minlength=len(distinct)).astype(np.int64)
-    aligned = np.split(totals[inverse].astype("<u8"), np.cumsum(list(map(len, keys)))[:-1])
-    n = len(keys)
+    distinct = np.unique(np.concatenate(keys))
+    places = [np.searchsorted(distinct, k).astype(np.int32) for k in keys]
+    del keys
+    counts = group["counts"].to_pylist()
+    totals = np.zeros(len(distinct), np.int64)
+    for at, own in zip(places, counts, strict=True):
+        totals[at] += unpack_counts(own)
+    n = len(places)
     return pa.table(
         {
             "ord": group["ord"],
             "slice": group["slice"],
             "block": group["block"],
-            "totals": [a.tobytes() for a in aligned],
+            "others": [pack_counts(totals[at] - unpack_counts(own)) for at, own in zip(places, counts, strict=True)],
             # Once per slice.
             "n_distinct": [int((totals > 0).sum())] + [0] * (n - 1),
             "n_total": [int(totals.sum())] + [0] * (n - 1),
@@ -282,58 +379,71 @@ def traverse(block: Block, automaton: Automaton, order: int, lane: int = LANE) -
 
 
 def _score_block(order: int, n: int, v: int, mass: float):
-    def run(docs: pa.Table, totals: pa.Table) -> pa.Table:
-        if not docs.num_rows:
-            return _arrow(_SCORES).empty_table()
-        docs = docs.combine_chunks()
-        block = read_block(docs["text"].combine_chunks(), ~docs["held_out"].to_numpy(), order)
-        parts = sorted(zip(*(totals[c].to_pylist() for c in ("ord", "slice", "totals")), strict=True))
+    def run(stored: pa.Table, others: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(others[c].to_pylist() for c in ("ord", "slice", "others")), strict=True))
+        parts = [_part(p, order) for row in stored["parts"].to_pylist() for p in row]
         known = []
         for k in range(order):
-            own = [np.frombuffer(t, "<u8") for o, _, t in parts if o == k]
-            known.append((distinct_grams(block, k)[0], np.concatenate(own) if own else np.empty(0, np.uint64)))
-        automaton = build(block, known, n, v, mass)
-        real = block.real
-        index = np.searchsorted(known[0][0], block.grams[0][real])
-        count = known[0][1][index].astype(float)
-        starts = block.first[:-1] - np.arange(len(block.first) - 1)  # without the start tokens
-        base = np.log10((count + 0.5) / (n + 0.5 * (v + 1)))
-        return pa.table(
-            {
-                "doc_id": docs["doc_id"],
-                "held_out": docs["held_out"],
-                "n_tokens": np.add.reduceat(np.ones(len(count), np.int64), starts),
-                "n_known": np.add.reduceat((count > 0).astype(np.int64), starts),
-                "train_tokens": np.full(docs.num_rows, n, np.int64),
-                "base_score": np.add.reduceat(base, starts),
-                "score": traverse(block, automaton, order),
-            },
-            schema=_arrow(_SCORES),
-        )
+            keys, totals = merged([distinct_grams(part, k) for _, part in parts])
+            elsewhere = [unpack_counts(o) for own, _, o in rows if own == k]
+            known.append((keys, totals + np.concatenate(elsewhere) if elsewhere else totals))
+        scored = []
+        while parts:
+            scored.append(_score_part(*parts.pop(0), known, n, v, mass))
+        return pa.concat_tables(scored) if scored else _arrow(_SCORES).empty_table()
 
     return run
 
 
+def _score_part(docs: pa.Table, part: Block, known: list[tuple[np.ndarray, np.ndarray]], n: int, v: int, mass: float):
+    """Scores of the documents of a part, given the corpus-wide counts of the n-grams of its block."""
+    own = []
+    for k, (keys, totals) in enumerate(known):
+        here = np.unique(part.grams[k][part.real & (part.grams[k] != 0)])
+        own.append((here, totals[np.searchsorted(keys, here)]))
+    automaton = build(part, own, n, v, mass)
+    index = np.searchsorted(own[0][0], part.grams[0][part.real])
+    count = own[0][1][index].astype(float)
+    starts = part.first[:-1] - np.arange(len(part.first) - 1)  # without the start tokens
+    base = np.log10((count + 0.5) / (n + 0.5 * (v + 1)))
+    return pa.table(
+        {
+            "doc_id": docs["doc_id"],
+            "held_out": docs["held_out"],
+            "n_tokens": np.add.reduceat(np.ones(len(count), np.int64), starts),
+            "n_known": np.add.reduceat((count > 0).astype(np.int64), starts),
+            "train_tokens": np.full(docs.num_rows, n, np.int64),
+            "base_score": np.add.reduceat(base, starts),
+            "score": traverse(part, automaton, len(known)),
+        },
+        schema=_arrow(_SCORES),
+    )
+
+
 _SCORES = (
     "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 )
 
 
 def score_documents(
-    docs: DataFrame, order: int = ORDER, mass: float = MASS, block_bytes: int = BLOCK_BYTES
+    docs: DataFrame,
+    order: int = ORDER,
+    mass: float = MASS,
+    block_bytes: int = BLOCK_BYTES,
+    part_bytes: int = PART_BYTES,
 ) -> DataFrame:
     """Scores of all documents under the model of those that are not held out."""
-    docs = docs.select("doc_id", "text").withColumn("held_out", held_out(F.col("doc_id")))
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks = max(1, -(-total // block_bytes))
-    slice_bits = max(0, int(n_blocks - 1).bit_length())
-    blocked = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)))
-    counts = blocked.groupBy("block").applyInArrow(_counts_of_block(order, slice_bits), _COUNTS)
+    docs = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
+    cut = docs.withColumn("task", F.spark_partition_id() + 1)
+    # Stored, so that both passes see the same blocks whatever executor is lost.
+    blocks = materialize(cut.mapInArrow(_cut_into_blocks(block_bytes, part_bytes), _BLOCKS), "lm-blocks")
+    slice_bits = math.ceil(math.log2(SLICES * math.sqrt(max(1, blocks.count()))))
+    counts = blocks.mapInArrow(_counts_of_blocks(order, slice_bits), _COUNTS)
     totals = materialize(counts.groupBy("ord", "slice").applyInArrow(_totals_of_slice, _TOTALS), "ngram-totals")
     sums = totals.filter("ord = 0").agg(F.sum("n_total").alias("n"), F.sum("n_distinct").alias("v")).first()
     scoring = _score_block(order, sums.n or 0, sums.v or 0, mass)
     return (
-        blocked.groupBy("block")
-        .cogroup(totals.select("ord", "slice", "block", "totals").groupBy("block"))
+        blocks.groupBy("block")
+        .cogroup(totals.select("ord", "slice", "block", "others").groupBy("block"))
         .applyInArrow(scoring, _SCORES)
     )

@@ -15,7 +15,7 @@ def test_lm_equals_a_plain_model(spark):
     given = [(r.doc_id, r.text) for r in table(spark, "/root/testdata/sf0.001", "documents").limit(40).collect()]
     rows = [*((1000 + i, t) for i, t in given), *ODD]
     for order, mass in ((2, 300.0), (3, 7.0)):
-        got = lm.score_documents(odd_frame(spark, rows), order=order, mass=mass, block_bytes=100_000).collect()
+        got = lm.score_documents(odd_frame(spark, rows), order=order, mass=mass, block_bytes=100_000, part_bytes=30_000).collect()
         want = sorted((i is not None, i or 0, *s) for (i, _), s in zip(rows, lm_scores(rows, order, mass), strict=True))
         have = sorted(
             (r.doc_id is not None, r.doc_id or 0, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got
@@ -36,6 +36,8 @@ def test_scores_use_two_words_of_context(spark):
 def test_hashes_pack_and_unpack():
     keys = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 1000).astype(np.uint64))
     assert (lm.unpack(lm.pack(keys)) == keys).all() and len(lm.unpack(lm.pack(keys[:0]))) == 0
+    for counts in ([], [0, 1, 254, 255, 256, 0, 1 << 40], [1] * 1000):
+        assert lm.unpack_counts(lm.pack_counts(np.array(counts, np.int64))).tolist() == counts
 
 
 ITEMS = [

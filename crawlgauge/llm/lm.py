@@ -22,7 +22,7 @@ token has the same probability. N-grams are told apart by 64-bit hashes.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -102,11 +102,17 @@ def read_block(texts: pa.Array, trained: np.ndarray, order: int) -> Block:
     return Block(flat, first, grams, np.repeat(np.asarray(trained, bool), np.diff(first)) if n else np.empty(0, bool))
 
 
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    """Sorted distinct numbers, by sorting: np.unique hashes, which takes many times as long on large arrays."""
+    keys = np.sort(keys)
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+
+
 def distinct_grams(block: Block, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct hashes of (k + 1)-grams that end at real tokens, and their training counts here."""
     mask = block.real & (block.grams[k] != 0)
-    keys = np.unique(block.grams[k][mask])
-    counts = np.zeros(len(keys), np.int64)
+    keys = _distinct(block.grams[k][mask])
+    counts = np.zeros(len(keys), np.int32)
     trained, times = np.unique(block.grams[k][mask & block.trained], return_counts=True)
     counts[np.searchsorted(keys, trained)] = times
     return keys, counts
@@ -114,8 +120,8 @@ def distinct_grams(block: Block, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct hashes of several parts, and the sums of their counts."""
-    keys = np.unique(np.concatenate([k for k, _ in parts]))
-    counts = np.zeros(len(keys), np.int64)
+    keys = _distinct(np.concatenate([k for k, _ in parts]))
+    counts = np.zeros(len(keys), np.int32)
     for own, times in parts:
         counts[np.searchsorted(keys, own)] += times
     return keys, counts
@@ -214,17 +220,23 @@ def _cut_into_blocks(block_bytes: int, part_bytes: int):
     return run
 
 
+def _grams_of_parts(parts: Iterable[bytes], order: int) -> list[list[tuple[np.ndarray, np.ndarray]]]:
+    """Distinct n-grams and counts of every part, by order; one part's text is held at a time."""
+    found: list[list] = [[] for _ in range(order)]
+    for stored in parts:
+        _, part = _part(stored, order)
+        for k in range(order):
+            found[k].append(distinct_grams(part, k))
+    return found
+
+
 def _counts_of_blocks(order: int, slice_bits: int):
     """(ord, slice, block, keys, counts) of every block: a row per slice that its n-grams fall in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, parts in zip(batch.column("block").to_pylist(), batch.column("parts"), strict=True):
-                found: list[list] = [[] for _ in range(order)]
-                for stored in parts:
-                    _, part = _part(stored.as_py(), order)
-                    for k in range(order):
-                        found[k].append(distinct_grams(part, k))
+                found = _grams_of_parts((p.as_py() for p in parts), order)
                 for k in range(order):
                     yield _sliced(k, number, *merged(found[k]), slice_bits)
                     found[k] = []
@@ -249,7 +261,7 @@ def _sliced(k: int, number: int, keys: np.ndarray, counts: np.ndarray, slice_bit
 def _totals_of_slice(group: pa.Table) -> pa.Table:
     """What the other blocks counted, aligned with the keys of each block; how many keys of the slice were trained."""
     keys = [unpack(k) for k in group["keys"].to_pylist()]
-    distinct = np.unique(np.concatenate(keys))
+    distinct = _distinct(np.concatenate(keys))
     places = [np.searchsorted(distinct, k).astype(np.int32) for k in keys]
     del keys
     counts = group["counts"].to_pylist()
@@ -381,16 +393,16 @@ def traverse(block: Block, automaton: Automaton, order: int, lane: int = LANE) -
 def _score_block(order: int, n: int, v: int, mass: float):
     def run(stored: pa.Table, others: pa.Table) -> pa.Table:
         rows = sorted(zip(*(others[c].to_pylist() for c in ("ord", "slice", "others")), strict=True))
-        parts = [_part(p, order) for row in stored["parts"].to_pylist() for p in row]
-        known = []
+        parts = [p for row in stored["parts"].to_pylist() for p in row]
+        if not parts:
+            return _arrow(_SCORES).empty_table()
+        found, known = _grams_of_parts(parts, order), []
         for k in range(order):
-            keys, totals = merged([distinct_grams(part, k) for _, part in parts])
+            keys, totals = merged(found[k])
+            found[k] = []
             elsewhere = [unpack_counts(o) for own, _, o in rows if own == k]
             known.append((keys, totals + np.concatenate(elsewhere) if elsewhere else totals))
-        scored = []
-        while parts:
-            scored.append(_score_part(*parts.pop(0), known, n, v, mass))
-        return pa.concat_tables(scored) if scored else _arrow(_SCORES).empty_table()
+        return pa.concat_tables([_score_part(*_part(p, order), known, n, v, mass) for p in parts])
 
     return run
 
@@ -399,7 +411,7 @@ def _score_part(docs: pa.Table, part: Block, known: list[tuple[np.ndarray, np.nd
     """Scores of the documents of a part, given the corpus-wide counts of the n-grams of its block."""
     own = []
     for k, (keys, totals) in enumerate(known):
-        here = np.unique(part.grams[k][part.real & (part.grams[k] != 0)])
+        here = _distinct(part.grams[k][part.real & (part.grams[k] != 0)])
         own.append((here, totals[np.searchsorted(keys, here)]))
     automaton = build(part, own, n, v, mass)
     index = np.searchsorted(own[0][0], part.grams[0][part.real])

@@ -38,7 +38,7 @@ ORDER = 3
 # Weight of the shorter context, in tokens.
 MASS = 300.0
 # Bytes of text in a block, and in each of its parts; a longer text is a part of its own.
-BLOCK_BYTES, PART_BYTES = 32 << 20, 4 << 20
+BLOCK_BYTES, PART_BYTES = 16 << 20, 2 << 20
 # Slices of the hash range for one block.
 SLICES = 16
 # Tokens of one lane of the traversal; results do not depend on it.

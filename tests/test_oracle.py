@@ -34,3 +34,16 @@ def test_entry_has_a_stable_schema(spark):
     assert df.columns == [
         "scan_id", "url", "raw_points", "max_points", "score", "band", "n_pass", "n_warning", "n_fail"]
     assert df.count() == 46
+
+
+def test_subpage_scan_reads_every_served_page(spark, tmp_path):
+    pages = [(i, f"https://s{i}.example/", "<body><p>some text</p><footer></footer></body>") for i in (0, 1, 2, 3, 10, 23)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    rows = QUERIES["subpage_scan"](spark, str(tmp_path)).collect()
+    # Pages 2, 3 and 23 link to nothing of their own site; their pages are read all the same.
+    assert sorted((r.scan_id, r.path) for r in rows) == [
+        (0, "/contact-us"), (0, "/docs"), (0, "/pricing"), (1, "/docs"), (1, "/docs/pricing"), (1, "/pricing"), (1, "/x"),
+        (2, "/docs"), (2, "/pricing"), (3, "/docs"), (10, "/docs"), (10, "/pricing"), (23, "/docs"), (23, "/pricing"),
+    ]
+    assert all(r.text_len == 0 for r in rows if r.scan_id in (2, 3, 23))
+    assert all(r.text_len > 0 for r in rows if r.scan_id in (0, 10))

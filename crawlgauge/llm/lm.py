@@ -118,6 +118,27 @@ def distinct_grams(block: Block, k: int) -> tuple[np.ndarray, np.ndarray]:
     return keys, counts
 
 
+@dataclass(frozen=True)
+class Places:
+    """Distinct n-grams of one length that end at real tokens, and where they are."""
+
+    keys: np.ndarray  # sorted hashes
+    sample: np.ndarray  # a token at which each ends
+    at: np.ndarray  # which of them ends at each token, -1 where none does
+
+
+def places(block: Block, k: int) -> Places:
+    """All (k + 1)-grams of a block from one sort, so that nothing has to be searched for its hash again."""
+    mask = np.flatnonzero(block.real & (block.grams[k] != 0))
+    grams = block.grams[k][mask]
+    sort = np.argsort(grams)
+    grams = grams[sort]
+    new = np.concatenate([[True], grams[1:] != grams[:-1]]) if len(grams) else np.empty(0, bool)
+    at = np.full(len(block.words), -1)
+    at[mask[sort]] = np.cumsum(new) - 1
+    return Places(grams[new], mask[sort[new]], at)
+
+
 def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct hashes of several parts, and the sums of their counts."""
     keys = _distinct(np.concatenate([k for k, _ in parts]))
@@ -298,6 +319,21 @@ class Automaton:
     price: np.ndarray  # log10 weight of the failure arc
     start: int
     unknown: float  # log10 probability of a word without any count
+    first: np.ndarray  # by the upper bits of a hash: the first arc of these or higher bits
+
+    def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each hash among the arcs, and whether it is one: hashes are spread evenly, so few steps lead there."""
+        at = self.first[_upper_bits(key, len(self.first))]
+        if not len(self.arcs):
+            return at, np.zeros(len(key), bool)
+        last = len(self.arcs) - 1
+        behind = np.flatnonzero(self.arcs[np.minimum(at, last)] < key)
+        while len(behind):
+            at[behind] += 1
+            behind = behind[at[behind] <= last]
+            behind = behind[self.arcs[at[behind]] < key[behind]]
+        at = np.minimum(at, last)
+        return at, self.arcs[at] == key
 
     def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Next states and log10 weights for one word in each lane."""
@@ -305,9 +341,7 @@ class Automaton:
         target = np.zeros(len(state), np.int64)
         open_ = np.arange(len(state))
         while len(open_):
-            key = _extend(self.name[state[open_]], word[open_])
-            at = np.minimum(np.searchsorted(self.arcs, key), max(0, len(self.arcs) - 1))
-            found = self.arcs[at] == key if len(self.arcs) else np.zeros(len(key), bool)
+            at, found = self.find(_extend(self.name[state[open_]], word[open_]))
             hit = open_[found]
             total[hit] += self.weight[at[found]]
             target[hit] = self.target[at[found]]
@@ -321,47 +355,57 @@ class Automaton:
         return target, total
 
 
-def build(block: Block, totals: list[tuple[np.ndarray, np.ndarray]], n: int, v: int, mass: float) -> Automaton:
-    """The automaton of the n-grams of a block; totals[k]: sorted (k + 1)-gram hashes and their counts."""
+def _upper_bits(key: np.ndarray, size: int) -> np.ndarray:
+    """As many upper bits as number the entries of a table, whose size is a power of two and at least 2."""
+    return (key >> np.uint64(65 - size.bit_length())).astype(np.int64)
+
+
+def build(block: Block, found: list[Places], totals: list[np.ndarray], n: int, v: int, mass: float) -> Automaton:
+    """The automaton of the n-grams of a block; totals[k]: the counts of the (k + 1)-grams found."""
     order = len(totals)
     unknown = 0.5 / (n + 0.5 * (v + 1))
     end = _extend(np.array([_ROOT]), np.array([_END]))
-    texts = totals[0][1][np.searchsorted(totals[0][0], end)][0] if len(totals[0][0]) else 0
-    arcs, weight, prefix, suffix, level, counts = [], [], [], [], [], []
-    lower_keys, lower_p = np.empty(0, np.uint64), np.empty(0)
+    texts = totals[0][np.searchsorted(found[0].keys, end)][0] if len(totals[0]) else 0
+    arcs, weight, suffix, counts = [], [], [], []
     start = _extend(np.array([_ROOT]), np.array([_START]))[0]
-    for k, (keys, total) in enumerate(totals):
-        mask = np.flatnonzero(block.real & (block.grams[k] != 0))
-        sample = mask[np.unique(block.grams[k][mask], return_index=True)[1]][total > 0]
-        own, count = keys[total > 0], total[total > 0].astype(float)
+    # lower: the number of each shorter n-gram among all counted ones.
+    lower, lower_p, size = np.empty(0, np.int64), np.empty(0), 0
+    for k, (places_, total) in enumerate(zip(found, totals, strict=True)):
+        known = total > 0
+        sample, own, count = places_.sample[known], places_.keys[known], total[known].astype(float)
         if k == 0:
             p = (count + 0.5) * (unknown / 0.5)
-            before, after = np.full(len(own), _ROOT), np.full(len(own), _ROOT)
+            back = np.full(len(own), -1)
         else:
             before = block.grams[k - 1][sample - 1]
-            after = block.grams[k - 1][sample]
-            held = totals[k - 1][1][np.minimum(np.searchsorted(totals[k - 1][0], before), len(totals[k - 1][0]) - 1)]
+            held = totals[k - 1][found[k - 1].at[sample - 1]]
             context = np.where(before == start, texts, held).astype(float)
-            p = (count + mass * lower_p[np.searchsorted(lower_keys, after)]) / (context + mass)
+            back = lower[found[k - 1].at[sample]]
+            p = (count + mass * lower_p[back - (size - len(lower_p))]) / (context + mass)
         arcs.append(own)
         weight.append(np.log10(p))
-        prefix.append(before)
-        suffix.append(after)
-        level.append(np.full(len(own), k))
+        suffix.append(back)
         counts.append(count)
-        lower_keys, lower_p = own, p
-    arcs, weight, suffix, level, counts = map(np.concatenate, (arcs, weight, suffix, level, counts))
+        lower, lower_p = np.cumsum(known) - 1 + size, p
+        size += len(own)
+    inner = size - len(lower_p)  # those of fewer than ``order`` words
+    arcs, weight, suffix, counts = map(np.concatenate, (arcs, weight, suffix, counts))
     sort = np.argsort(arcs)
-    arcs, weight, suffix, level, counts = (x[sort] for x in (arcs, weight, suffix, level, counts))
+    place = np.empty(size + 1, np.int64)
+    place[sort] = np.arange(1, size + 1)
+    place[-1] = 0
+    arcs, weight, counts = arcs[sort], weight[sort], counts[sort]
     # States: the root, every n-gram of fewer than ``order`` words, and the start of a text. N-grams of
     # ``order`` words get a number too, but no arc leads to it.
     name = np.concatenate([[_ROOT], arcs, [start]])
-    back = np.concatenate([[0], np.where(level == 0, 0, np.searchsorted(arcs, suffix) + 1), [0]])
-    itself = np.arange(1, len(arcs) + 1)
-    target = np.where(level < order - 1, itself, back[1:-1])
+    back = np.concatenate([[0], place[suffix[sort]], [0]])
+    target = np.where(sort < inner, np.arange(1, size + 1), back[1:-1])
     with np.errstate(divide="ignore"):
         price = np.log10(mass / (np.concatenate([[0], counts, [texts]]) + mass))
-    return Automaton(arcs, weight, target, name, back, price, len(arcs) + 1, float(np.log10(unknown)))
+    table = 1 << max(1, size.bit_length())
+    ahead = np.cumsum(np.bincount(_upper_bits(arcs, table), minlength=table))
+    first = np.concatenate([[0], ahead[:-1]])
+    return Automaton(arcs, weight, target, name, back, price, size + 1, float(np.log10(unknown)), first)
 
 
 def traverse(block: Block, automaton: Automaton, order: int, lane: int = LANE) -> np.ndarray:
@@ -409,13 +453,10 @@ def _score_block(order: int, n: int, v: int, mass: float):
 
 def _score_part(docs: pa.Table, part: Block, known: list[tuple[np.ndarray, np.ndarray]], n: int, v: int, mass: float):
     """Scores of the documents of a part, given the corpus-wide counts of the n-grams of its block."""
-    own = []
-    for k, (keys, totals) in enumerate(known):
-        here = _distinct(part.grams[k][part.real & (part.grams[k] != 0)])
-        own.append((here, totals[np.searchsorted(keys, here)]))
-    automaton = build(part, own, n, v, mass)
-    index = np.searchsorted(own[0][0], part.grams[0][part.real])
-    count = own[0][1][index].astype(float)
+    found = [places(part, k) for k in range(len(known))]
+    own = [totals[np.searchsorted(keys, f.keys)] for f, (keys, totals) in zip(found, known, strict=True)]
+    automaton = build(part, found, own, n, v, mass)
+    count = own[0][found[0].at[part.real]].astype(float)
     starts = part.first[:-1] - np.arange(len(part.first) - 1)  # without the start tokens
     base = np.log10((count + 0.5) / (n + 0.5 * (v + 1)))
     return pa.table(

@@ -2,11 +2,12 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 from plain import ODD, components, contamination, lm_scores, odd_frame, shingles
 from pyspark.sql import functions as F
 
 from crawlgauge.llm import decontaminate, jaccard_join, lm, sharding
-from crawlgauge.llm.common import table
+from crawlgauge.llm.common import _values, table
 from crawlgauge.llm.queries import ORACLE, QUERIES
 from verification.check import canonical
 
@@ -40,6 +41,30 @@ def test_hashes_pack_and_unpack():
         assert lm.unpack_counts(lm.pack_counts(np.array(counts, np.int64))).tolist() == counts
 
 
+def test_language_model_finds_ngrams_without_searching_all():
+    texts = pa.array(["a b a b c", None, "", "c a b a b", "x " * 40])
+    block = lm.read_block(texts, np.array([True, True, False, True, False]), 3)
+    for k in range(3):
+        found = lm.places(block, k)
+        assert (found.keys == lm.distinct_grams(block, k)[0]).all()
+        here = found.at >= 0
+        assert (here == (block.real & (block.grams[k] != 0))).all()
+        assert (found.keys[found.at[here]] == block.grams[k][here]).all()
+        assert (block.grams[k][found.sample] == found.keys).all()
+    counts = [lm.distinct_grams(block, k)[1] for k in range(3)]
+    automaton = lm.build(block, [lm.places(block, k) for k in range(3)], counts, 9, 4, 300.0)
+    asked = np.concatenate([automaton.arcs, np.arange(0, 1 << 63, 1 << 55, np.uint64), [np.uint64(2**64 - 1)]])
+    at, known = automaton.find(asked)
+    assert (known == np.isin(asked, automaton.arcs)).all() and known.any() and not known.all()
+    assert (at[known] == np.searchsorted(automaton.arcs, asked[known])).all()
+
+
+def test_distinct_words_of_a_slice():
+    words = pa.array(["é", "", "bb", "c"], pa.large_binary())
+    assert _values(words) == words.to_pylist() and _values(words[1:3]) == words[1:3].to_pylist()
+    assert _values(words[:0]) == [] and _values(words[1:2]) == [b""]
+
+
 ITEMS = [
     (1, " ".join(f"alpha{i}" for i in range(30))),
     (2, "Short item of Six words"),

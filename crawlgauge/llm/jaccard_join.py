@@ -18,8 +18,9 @@ distinct sets (classes) and never lists the pairs of a group:
    nothing once it is one component.
 4. Opened groups. The members let in, if in different components, are compared by parity sketches: the number of
    differing bits never exceeds the number of differing shingles, so a pair above the bound is no link. What is
-   left is verified on the shingles themselves: first the closest pair of each member and component, then, with
-   the components and the matrix as they are by then, the rest.
+   left is verified on the shingles themselves: first the closest pairs that connect the components of two groups as
+   all pairs would, fewer than there are components, then, among the same members with the components as they are by
+   then, the rest.
 
 Defined cases: null and empty texts have an empty set and link with nothing, not even with each other; a text
 with fewer than SHINGLE words has its whole sequence as its only shingle; equal texts and repeated rows are
@@ -355,7 +356,7 @@ def _undone(rows: DataFrame, comp: DataFrame) -> DataFrame:
 
 
 def _let_in(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """(cls, comp, g, h, n, sketch): members of g that may have a link into h, as bounded by their tokens there."""
+    """(cls, g, h, n): members of g that may have a link into h, as bounded by their tokens there."""
     cells = rows.groupBy("token", F.col("g").alias("h")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     overlap = (
         rows.join(cells, "token")
@@ -364,16 +365,55 @@ def _let_in(rows: DataFrame, classes: DataFrame) -> DataFrame:
         .agg(F.count("*").alias("shared"))
     )
     let_in = overlap.join(classes.select("cls", "n", "needed"), "cls").filter("shared >= needed")
-    let_in = materialize(let_in.select("cls", "comp", "g", "h", "n"), "let-in")
+    let_in = materialize(let_in.select("cls", "g", "h", "n"), "let-in")
     # A link needs members let in on both sides.
     back = let_in.select(F.col("h").alias("g"), F.col("g").alias("h")).distinct()
-    return let_in.join(back, ["g", "h"], "left_semi").join(classes.select("cls", "sketch"), "cls")
+    return materialize(let_in.join(_sized(back), ["g", "h"], "left_semi"), "members-let-in")
+
+
+def _opened(let_in: DataFrame, comp: DataFrame, classes: DataFrame) -> DataFrame:
+    """(left, right): the members let in of every two groups that hold more than one component together."""
+    now = let_in.join(_sized(comp), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    now = now.withColumns({"lo": F.least("g", "h"), "hi": F.greatest("g", "h")})
+    cells = now.groupBy("lo", "hi").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+    several = materialize(cells.filter("low < high").select("lo", "hi"), "open-groups")
+    # Members are few beside classes: sent to the tasks, they leave the sketches of all other classes where they are.
+    wanted = _sized(materialize(now.join(_sized(several), ["lo", "hi"], "left_semi"), "open-members"))
+    member = F.struct("cls", "comp", "n", "sketch")
+    return (
+        wanted.join(classes.select("cls", "sketch"), "cls")
+        .groupBy("lo", "hi")
+        .agg(
+            F.collect_list(F.when(F.col("g") <= F.col("h"), member)).alias("left"),
+            F.collect_list(F.when(F.col("g") >= F.col("h"), member)).alias("right"),
+        )
+        .select("left", "right")
+    )
+
+
+def _forest(a: np.ndarray, b: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Places of the closest pairs that connect the components ``a`` and ``b`` as all pairs do."""
+    names, codes = np.unique(np.concatenate([a, b]), return_inverse=True)
+    top, kept = list(range(len(names))), []
+    order = np.argsort(bits, kind="stable")
+    for at, x, y in zip(order.tolist(), codes[: len(a)][order].tolist(), codes[len(a) :][order].tolist(), strict=True):
+        while top[x] != x:
+            top[x] = x = top[top[x]]
+        while top[y] != y:
+            top[y] = y = top[top[y]]
+        if x != y:
+            top[y] = x
+            kept.append(at)
+            if len(kept) == len(names) - 1:
+                break
+    return np.array(kept, np.int64)
 
 
 def _open_groups(num: int, den: int, nearest: bool):
     """Pairs of members, one of each group, that may link and are in different components.
 
-    ``nearest`` keeps, for each member of the left group and each component of the right one, only the closest pair.
+    ``nearest`` keeps only the closest pairs that connect these components: a family of many components gives
+    fewer pairs than it has members, not all of them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -395,19 +435,16 @@ def _open_groups(num: int, den: int, nearest: bool):
 
 def _candidates(left: list[dict], right: list[dict], size: int, num: int, den: int, nearest: bool) -> np.ndarray:
     column = lambda rows, name: np.array([m[name] for m in rows], np.int64)
-    n, m, comp = column(left, "n"), column(right, "n"), column(right, "comp")
+    n, m, own, comp = column(left, "n"), column(right, "n"), column(left, "comp"), column(right, "comp")
     bound = allowed(n[:, None] + m[None, :], num, den)
-    near = (column(left, "comp")[:, None] != comp[None, :]) & (np.abs(n[:, None] - m[None, :]) <= bound)
+    near = (own[:, None] != comp[None, :]) & (np.abs(n[:, None] - m[None, :]) <= bound)
     if not near.any():
         return np.empty((2, 0), np.int64)
     bits = differing_bits(_folded([x["sketch"] for x in left], size), _folded([x["sketch"] for x in right], size))
     i, j = np.nonzero(near & (bits <= bound))
-    if nearest and len(i):
-        sort = np.lexsort((bits[i, j], comp[j], i))
-        i, j = i[sort], j[sort]
-        first = np.ones(len(i), bool)
-        first[1:] = (i[1:] != i[:-1]) | (comp[j[1:]] != comp[j[:-1]])
-        i, j = i[first], j[first]
+    if nearest:
+        kept = _forest(own[i], comp[j], bits[i, j])
+        i, j = i[kept], j[kept]
     return np.stack([column(left, "cls")[i], column(right, "cls")[j]])
 
 
@@ -475,35 +512,35 @@ def near_duplicates(
     # Trees of more than one group are few; all others are one slice.
     slices = placed.groupBy("root").agg(F.ceil(F.count("*") / group).alias("slices")).filter("slices > 1")
     slices = _sized(materialize(slices, "slices"))
-    placed = materialize(
-        placed.join(slices, "root", "left").select(
-            "cls",
-            F.xxhash64("root", F.pmod(F.xxhash64("cls"), F.coalesce("slices", F.lit(1).cast("long")))).alias("g"),
-        ),
-        "groups",
+    placed = _sized(
+        materialize(
+            placed.join(slices, "root", "left").select(
+                "cls",
+                F.xxhash64("root", F.pmod(F.xxhash64("cls"), F.coalesce("slices", F.lit(1).cast("long")))).alias("g"),
+            ),
+            "groups",
+        )
     )
     rows = materialize(shared.select("token", "cls").join(placed, "cls"), "matrix")
 
-    # First only the closest pairs between components, then, when most of them have merged, all that are left.
+    comp_of = lambda links: materialize(
+        components(links).select(F.col("node").alias("cls"), F.col("root").alias("comp")), "components"
+    )
+    comp = comp_of(first_links)
+    # Components only grow, so whoever may link later is let in now.
+    let_in = _let_in(materialize(_undone(rows, comp), "undone"), classes)
+
+    # First only the closest pairs that connect components, then, when most of them have merged, all that are left.
     links = first_links
     for nearest_only in (True, False):
-        comp = materialize(components(links).select(F.col("node").alias("cls"), F.col("root").alias("comp")), "components")
-        rows = materialize(_undone(rows, comp), "undone")
-        member = F.struct("cls", "comp", "n", "sketch")
-        opened = (
-            _let_in(rows, classes)
-            .groupBy(F.least("g", "h").alias("lo"), F.greatest("g", "h").alias("hi"))
-            .agg(
-                F.collect_list(F.when(F.col("g") <= F.col("h"), member)).alias("left"),
-                F.collect_list(F.when(F.col("g") >= F.col("h"), member)).alias("right"),
-            )
-            .select("left", "right")
-        )
         candidates = materialize(
-            opened.mapInArrow(_open_groups(num, den, nearest_only), "a long, b long").distinct(), "candidates"
+            _opened(let_in, comp, classes).mapInArrow(_open_groups(num, den, nearest_only), "a long, b long").distinct(),
+            "candidates",
         )
         more = _verified(candidates, _sets_for(docs, classes, candidates, size), num, den)
         links = materialize(links.unionByName(more), "links")
+        if nearest_only:
+            comp = comp_of(links)
     final = components(links)
 
     # The smallest document of every component, for all members of its classes.

@@ -160,6 +160,42 @@ def test_linked_sets_share_the_tokens_they_need():
                 assert common >= max(jaccard_join.tokens_needed(len(x), num, den) for x in (a, b))
 
 
+def test_a_family_gives_fewer_pairs_than_it_has_members():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 300).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[i:], rng.integers(0, 1 << 63, i).astype(np.uint64)])) for i in range(40)]
+    rows = [{"cls": i, "comp": i // 2, "n": len(s), "sketch": jaccard_join.sketch_of(s, 80, 100)} for i, s in enumerate(sets)]
+    found = {}
+    for nearest in (True, False):
+        batch = pa.RecordBatch.from_pylist([{"left": rows, "right": rows}, {"left": rows[:3], "right": rows[:1]}])
+        out = list(jaccard_join._open_groups(80, 100, nearest)([batch]))
+        found[nearest] = [tuple(x.values()) for b in out for x in b.to_pylist()]
+    assert len(found[False]) > 500 and set(found[True]) <= set(found[False])
+    # The closest pairs connect the twenty components, and no pair is one too many.
+    assert len(found[True]) == 19
+    reached = {0}
+    for _ in found[True]:
+        reached |= {c for a, b in found[True] if {a // 2, b // 2} & reached for c in (a // 2, b // 2)}
+    assert reached == set(range(20))
+
+
+def test_jaccard_families_beyond_a_group_equal_a_plain_join(spark):
+    rng = random.Random(11)
+    rows = []
+    for _ in range(3):
+        text = [f"w{rng.randrange(300)}" for _ in range(120)]
+        for _ in range(14):
+            rows.append(" ".join(text))
+            # A chain: neighbours link, members further apart mostly do not.
+            for _ in range(2):
+                text[rng.randrange(len(text))] = f"w{rng.randrange(300)}"
+    rng.shuffle(rows)
+    first = components(rows, 80, 100, 5)
+    assert 3 <= len(set(first)) < len(rows)
+    found = jaccard_join.near_duplicates(odd_frame(spark, list(enumerate(rows))), 80, 100, 5, group=4)
+    assert sorted((r.doc_id, r.component_id) for r in found.collect()) == list(enumerate(first))
+
+
 def test_jaccard_without_documents_and_without_ids(spark):
     assert jaccard_join.near_duplicates(odd_frame(spark, [])).count() == 0
     rows = [(None, "a b c d"), (None, "a b c d"), (7, "a b c d"), (None, "q r s")]

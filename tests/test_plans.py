@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from crawlgauge.operators import audit, compare, reports, scoring, subpages
 from crawlgauge.plans.session import materialize
-from crawlgauge.sources.tables import fetch_frontier, resource_scan, site_table, write_resources, write_site_table
+from crawlgauge.sources.tables import fetch_frontier, resource_scan, site_table, spread, write_resources, write_site_table
 from verification import fixtures as fx
 
 
@@ -162,3 +162,25 @@ def test_score_of_a_bucketed_table_needs_no_exchange(spark, small, tmp_path):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
         spark.sql("DROP TABLE IF EXISTS bucketed_crawl")
+
+
+def test_pages_in_one_row_group_are_shared_out(spark, tmp_path):
+    confs = {"spark.sql.files.maxPartitionBytes": "4096", "spark.sql.files.openCostInBytes": "1"}
+    before = {k: spark.conf.get(k) for k in confs}
+    cores = spark.sparkContext.defaultParallelism
+    rows = spark.range(400).select(F.col("id").alias("page_id"), F.repeat(F.uuid(), 20).alias("html"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "one"))
+    rows.repartition(4 * cores, "page_id").write.parquet(str(tmp_path / "many"))
+    busy = lambda df: df.select(F.spark_partition_id()).distinct().count()
+    try:
+        for key, value in confs.items():
+            spark.conf.set(key, value)
+        one, many = (spark.read.parquet(str(tmp_path / name)) for name in ("one", "many"))
+        # As many splits as bytes, but only one of them holds the row group.
+        assert one.rdd.getNumPartitions() >= cores > busy(one) == 1
+        shared = spread(one, "page_id")
+        assert busy(shared) > 1 and shared.count() == 400
+        assert "Exchange" not in plan(spread(many, "page_id"))
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
